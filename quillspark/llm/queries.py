@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, sharding, tokens, urls
+from . import licenses, minhash, packing, sharding, tokens, urls
 from .common import crc_bucket
 
 
@@ -42,6 +42,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by line."""
     import public_tokenizers
@@ -58,5 +63,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op6_token_counts, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op9_sharding)}
 ORACLES: dict[str, str] = {}
