@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, packing, sharding, tokens, urls
+from . import licenses, minhash, packing, sharding, tokens, toxicity, urls
 from .common import crc_bucket
 
 
@@ -63,5 +63,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op9_sharding)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels whose remainder is not 0."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(crc_bucket("doc_id", 5) != 0))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (crc_bucket("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op9_sharding, op10_toxicity)}
 ORACLES: dict[str, str] = {}
