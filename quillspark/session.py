@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoneless = [c for c, kind in frame.dtypes if kind == "timestamp_ntz"]
     return frame.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else frame
+
+
+#: Applications that have the package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand this package to the application's executors (once), for clusters where it is not installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, f"{root.name}/{file.relative_to(root)}")
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(app)
+    return spark
