@@ -8,7 +8,7 @@ Labels are per document, so sentences of a toxic document are weakly labelled: f
 frequent in toxic documents, or begin with letters that are, are the witnesses (positive instances), frequent and
 random fragments of clean documents the negative ones. A linear SVM on the Nystroem map of landmark fragments separates them. Map and weights fold into
 one weight per letter triple, so scoring a fragment is a table lookup per triple. A document's score is a logistic
-function of its two highest fragments and its length, fitted on the sample.
+function of its two highest fragments, their number and its length, fitted on the sample.
 
 The training sample is bounded (SAMPLE documents, WITNESSES, STEMS, NEGATIVES and LANDMARKS fragments); every document is
 scored whole. Scoring needs no shuffle; a worker remembers the scores of a bounded number of fragments.
@@ -30,7 +30,11 @@ from .minhash import shingles
 
 SAMPLE, WITNESSES, STEMS, NEGATIVES, LANDMARKS = 10_000, 600, 60, 6_000, 256
 STEM_LETTERS = (4, 5, 6)
-DECAY, SPAN, LONGEST = 0.6, 8, 24
+#: The SVM's value from which a fragment counts as seen.
+SEEN = 0.3
+#: Share of toxic documents among those of a witness, at least.
+PURE = 0.6
+DECAY, SPAN, LONGEST, STRIDE = 0.6, 8, 10, 2
 LETTERS = 64
 #: Fragments whose scores a worker remembers (twice as many at most).
 REMEMBERED = 300_000
@@ -76,7 +80,7 @@ def _windows(codes: np.ndarray) -> list[np.ndarray]:
     """The codes, or overlapping windows over all of them when there are more than LONGEST."""
     if len(codes) <= LONGEST:
         return [codes]
-    starts = [*range(0, len(codes) - LONGEST, LONGEST // 2), len(codes) - LONGEST]
+    starts = [*range(0, len(codes) - LONGEST, STRIDE), len(codes) - LONGEST]
     return [codes[s : s + LONGEST] for s in starts]
 
 
@@ -120,55 +124,65 @@ def word_scores(words: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
     return out
 
 
-def kernel(words: list[bytes], marks: list[bytes]) -> np.ndarray:
-    """Normalised kernel of fragments (first window each) with landmarks."""
+def _sparse(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A window's triples and their normalised values."""
+    triples, weights, norms = _features(codes[None, :])
+    ids, first = np.unique(triples[0], return_index=True)
+    return ids, np.add.reduceat(weights[0], first) / norms[0]
 
-    def sparse(word):
-        codes, weights, norms = _features(_windows(letters(word.decode("utf-8", "replace")))[0][None, :])
-        ids, first = np.unique(codes[0], return_index=True)
-        return ids, np.add.reduceat(weights[0], first) / norms[0]
 
-    marked = [sparse(m) for m in marks]
+def kernel(rows: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
+    """Normalised kernel of windows with landmarks."""
+    marked = [_sparse(m) for m in marks]
     ids = np.unique(np.concatenate([i for i, _ in marked]))
     dense = np.zeros((len(ids), len(marks)), np.float32)
     for column, (i, v) in enumerate(marked):
         dense[np.searchsorted(ids, i), column] = v
-    row = np.full(LETTERS**3, -1, np.int64)
-    row[ids] = np.arange(len(ids))
-    out = np.zeros((len(words), len(marks)), np.float32)
-    for at, word in enumerate(words):
-        i, v = sparse(word)
-        hit = row[i] >= 0
+    place = np.full(LETTERS**3, -1, np.int64)
+    place[ids] = np.arange(len(ids))
+    out = np.zeros((len(rows), len(marks)), np.float32)
+    for at, codes in enumerate(rows):
+        i, v = _sparse(codes)
+        hit = place[i] >= 0
         if hit.any():
-            out[at] = v[hit] @ dense[row[i][hit]]
+            out[at] = v[hit] @ dense[place[i][hit]]
     return out
 
 
-def _folded(marks: list[bytes], weights: np.ndarray) -> np.ndarray:
+def _folded(marks: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     """One weight per triple: the sum of the landmarks' feature vectors, weighted."""
     table = np.zeros(LETTERS**3)
     for mark, weight in zip(marks, weights):
-        codes, w, norms = _features(_windows(letters(mark.decode("utf-8", "replace")))[0][None, :])
-        np.add.at(table, codes[0], weight * w[0] / norms[0])
+        ids, values = _sparse(mark)
+        table[ids] += weight * values
     return table.astype(np.float32)
 
 
 def fit_svm(positive: list[bytes], negative: list[bytes], seed: int = 5) -> tuple[np.ndarray, float]:
-    """Folded triple weights and bias of the squared-hinge SVM on the Nystroem map."""
-    positive = [w for w in positive if len(w) >= 2]
-    negative = [w for w in negative if len(w) >= 2]
+    """Folded triple weights and bias of the squared-hinge SVM on the Nystroem map.
+
+    A positive fragment is seen through its first window, a negative one through all of them.
+    """
+
+    def windows(words):
+        cut = (_windows(letters(w.decode("utf-8", "replace"))) for w in words if len(w) >= 2)
+        return [[x for x in some if len(x) >= 4] for some in cut]
+
+    known = {tuple(some[0]): some[0] for some in windows(positive) if some}
+    ones = list(known.values())
+    others = list({tuple(x): x for some in windows(negative) for x in some if tuple(x) not in known}.values())
     rng = np.random.RandomState(seed)
     half = LANDMARKS // 2
-    marks = [positive[i] for i in sorted(rng.permutation(len(positive))[:half])]
-    closest = kernel(negative, marks).max(axis=1)
-    order = np.argsort(-closest, kind="stable")
-    marks = list(dict.fromkeys(marks + [negative[i] for i in order[: half // 2]] + [negative[i] for i in rng.permutation(len(negative))[: half // 2]]))
+    marks = [ones[i] for i in sorted(rng.permutation(len(ones))[:half])]
+    order = np.argsort(-kernel(others, marks).max(axis=1), kind="stable")
+    picked = dict.fromkeys([*order[: half // 2].tolist(), *rng.permutation(len(others))[: half // 2].tolist()])
+    marks += [others[i] for i in picked]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    x = kernel(positive + negative, marks).astype(float) @ whiten
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    cost = np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative))
+    x = kernel(ones + others, marks).astype(float) @ whiten
+    y = np.concatenate([np.ones(len(ones)), -np.ones(len(others))])
+    cost = np.where(y > 0, 0.5 / len(ones), 0.5 / len(others))
     v, bias, mv, mb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
     rate = 1.0 / max(1e-9, np.linalg.eigvalsh(x.T @ (x * (2 * cost)[:, None])).max() + 2.0)
     for step in range(600):  # accelerated gradient
@@ -180,7 +194,8 @@ def fit_svm(positive: list[bytes], negative: list[bytes], seed: int = 5) -> tupl
 
 
 class Scorer:
-    """Document features from the SVM: the two highest fragments and log(1 + fragments)."""
+    """Document features from the SVM: the two highest fragments, the logarithm of one and the distinct fragments,
+    and that of one and those above SEEN."""
 
     def __init__(self, table: np.ndarray, bias: float):
         self.table, self.bias = table, bias
@@ -199,16 +214,18 @@ class Scorer:
                     self.known[word] = value
         if fresh:
             self.known.update(zip(fresh, word_scores(fresh, self.table, self.bias).tolist()))
-        out = np.empty((len(cut), 3))
+        out = np.empty((len(cut), 4))
         for row, words in enumerate(cut):
             first = second = -3.0
+            seen = 0
             for value in map(self.known.__getitem__, words):
+                seen += value > SEEN
                 if value > second:
                     if value > first:
                         first, second = value, first
                     else:
                         second = value
-            out[row] = first, second, np.log1p(len(words))
+            out[row] = first, second, np.log1p(len(words)), np.log1p(seen)
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         return out
@@ -266,7 +283,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     surprise = F.col("n") * (share * F.log(share / rate) + rest)
     counts = counts.where(F.octet_length("word") >= 2).cache()
     bar = max(4.0, float(np.log(max(2, total))) + 3.0)  # so that chance hardly makes a witness of a clean word
-    telling = (share > min(0.9, 3 * rate)) & (surprise >= bar)
+    telling = (share > max(PURE, min(0.9, 3 * rate))) & (surprise >= bar)
     found = counts.where(telling).select("word").orderBy(F.desc(surprise), "word").limit(WITNESSES).collect()
     # beginnings: the same test for what the rarer words of a stem have in common
     spelled = counts.withColumn("letters", F.decode("word", "UTF-8"))
@@ -276,21 +293,22 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         .where(telling).select("stem").orderBy(F.desc(surprise), "stem").limit(STEMS).collect()
     )
     known = [r["stem"] for r in stems]
-    kin = (
-        spelled.where(share > min(0.9, 5 * rate))
-        .where(F.arrays_overlap(F.array(*[F.left("letters", F.lit(k)) for k in STEM_LETTERS]), F.array(*[F.lit(x) for x in known])))
-        .select("word").orderBy(F.desc("p"), "word").limit(WITNESSES).collect()
-        if known else []
-    )
+    # the same beginnings in toxic documents mostly (more witnesses) and in clean ones (the hardest negatives)
+    kin, foes = [], []
+    if known:
+        begins = F.array(*[F.left("letters", F.lit(k)) for k in STEM_LETTERS])
+        akin = spelled.where(F.arrays_overlap(begins, F.array(*[F.lit(x) for x in known])))
+        kin = akin.where(share > max(PURE, min(0.9, 3 * rate))).select("word").orderBy(F.desc("p"), "word").limit(WITNESSES).collect()
+        foes = akin.where(share <= 0.5).select("word").orderBy(F.desc("n"), "word").limit(NEGATIVES // 4).collect()
     clean = counts.where(share <= min(0.9, 2 * rate))
     common = clean.orderBy(F.desc("n"), "word").limit(NEGATIVES // 2).select("word").collect()
     other = clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 2).select("word").collect()
     counts.unpersist()
-    if not (found or known) or not common:
+    if not (found or kin) or not common:
         sample.unpersist()
         return plain
-    witnesses = list(dict.fromkeys([bytes(r["word"]) for r in found] + [x.encode() for x in known] + [bytes(r["word"]) for r in kin]))
-    negatives = list(dict.fromkeys(bytes(r["word"]) for r in common + other))
+    witnesses = list(dict.fromkeys([bytes(r["word"]) for r in found + kin]))
+    negatives = list(dict.fromkeys(bytes(r["word"]) for r in foes + common + other))
     table, bias = fit_svm(witnesses, negatives)
     scored = sample.select(_features_udf(table, bias)("text").alias("x"), "y").collect()
     sample.unpersist()
@@ -319,7 +337,7 @@ def score(frame: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(table, bias)
         for texts in batches:
-            x = np.concatenate([scorer(texts.iloc[low : low + 256]) for low in range(0, len(texts), 256)] or [np.empty((0, 3))])
+            x = np.concatenate([scorer(texts.iloc[low : low + 256]) for low in range(0, len(texts), 256)] or [np.empty((0, 4))])
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
     return frame.withColumn("toxicity", toxicity(text_of(text_col)))
