@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, packing, sharding, tokens, toxicity, urls
+from . import langid, licenses, minhash, packing, sharding, tokens, toxicity, urls
 from .common import crc_bucket
 
 
@@ -56,6 +56,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those whose remainder is not 1."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(crc_bucket("doc_id", 3) != 1))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes."""
     return sharding.shard(_table(spark, sf_dir, "documents")).select(
@@ -75,5 +84,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op9_sharding, op10_toxicity)}
 ORACLES: dict[str, str] = {}
