@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, minhash, packing, sharding, tokens, toxicity, urls
+from . import decontam, langid, licenses, minhash, packing, sharding, tokens, toxicity, urls
 from .common import crc_bucket
 
 
@@ -65,6 +65,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes."""
     return sharding.shard(_table(spark, sf_dir, "documents")).select(
@@ -84,5 +89,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op9_sharding, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op8_decontamination, op9_sharding, op10_toxicity)}
+_WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def _seed_sql(table: str, name: str, number: int, mask: str) -> str:
+    looked = " || ' ' || ".join(f"ws[p + {i + 1}]" for i, c in enumerate(mask) if c == "1")
+    return f"SELECT {name}, p, {number} AS mask, {looked} AS seed FROM (SELECT *, unnest(range(len(ws) - {len(mask) - 1})) AS p FROM {table})"
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
+ds AS ({" UNION ALL ".join(_seed_sql("d", "doc_id", k, m) for k, m in enumerate(decontam.MASKS))}),
+bs AS ({" UNION ALL ".join(_seed_sql("b", "item_id", k, m) for k, m in enumerate(decontam.MASKS))}),
+laid AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (mask, seed)),
+same AS (
+  SELECT doc_id, item_id, shift, least(len(b.ws), {decontam.WINDOW}) AS n,
+    list_transform(range(len(b.ws)), lambda k: CASE WHEN shift + k >= 0 AND d.ws[shift + k + 1] = b.ws[k + 1] THEN 1 ELSE 0 END) AS m
+  FROM laid JOIN d USING (doc_id) JOIN b USING (item_id)),
+best AS (
+  SELECT doc_id, item_id, shift, n, list_sum(m) AS matched,
+    list_max(list_transform(range(len(m) - n + 1), lambda s: list_sum(m[s + 1:s + n]))) AS agreeing
+  FROM same),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, matched DESC, shift) AS r FROM best)
+SELECT doc_id, item_id, CAST(shift AS BIGINT) AS doc_word, CAST(agreeing AS BIGINT) AS n_agreeing, CAST(n AS BIGINT) AS n_window,
+  CAST(matched AS BIGINT) AS n_matched, CAST(agreeing AS DOUBLE) / n AS overlap
+FROM ranked WHERE r = 1 AND agreeing >= ceil(n * {decontam.SHARE})
+"""
+
+ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL}
