@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, minhash, packing, sharding, tokens, toxicity, urls
+from . import decontam, langid, licenses, minhash, neighbours, packing, sharding, tokens, toxicity, urls
 from .common import crc_bucket
 
 
@@ -32,6 +32,11 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and links of every vector."""
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))[0]
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
@@ -89,7 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op8_decontamination, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op8_decontamination, op9_sharding, op10_toxicity)}
 _WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
