@@ -179,3 +179,26 @@ def recall_and_mrr(first: DataFrame, slice_col: str, ks: tuple[int, ...] = (1, 3
     """n, recall at each k and MRR, overall (null slice) and per slice. A miss counts 0."""
     rates = [F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in ks]
     return first.rollup(slice_col).agg(F.count("*").alias("n"), *rates, F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))).alias("mrr"))
+
+
+def with_siblings(kept: DataFrame, siblings: DataFrame, query_col: str, id_col: str, budget: int) -> DataFrame:
+    """Kept passages (query, id, rank, tokens) and those of their siblings (id, sibling_id, sibling_tokens) that fit the
+    room left, each right after its own passage: (query, id, place). A sibling that does not fit is skipped; one that
+    is there already is not added. A fold over each query's candidates, which its kept passages bound."""
+    used = kept.groupBy(query_col).agg(F.sum("tokens").alias("used"), F.collect_set(id_col).alias("have"))
+    asked = kept.join(siblings, id_col).select(
+        query_col, F.struct(F.col("rank"), F.col("sibling_id"), F.col("sibling_tokens").cast("long").alias("tokens")).alias("c")
+    )
+    lists = used.join(asked.groupBy(query_col).agg(F.array_sort(F.collect_list("c")).alias("cs")), query_col)
+    start = F.struct(F.col("used").alias("used"), F.col("have").alias("have"), F.filter("cs", lambda c: F.lit(False)).alias("added"))
+    folded = F.aggregate(
+        "cs", start,
+        lambda state, c: F.when(
+            ~F.array_contains(state["have"], c["sibling_id"]) & (state["used"] + c["tokens"] <= budget),
+            F.struct((state["used"] + c["tokens"]).alias("used"), F.array_append(state["have"], c["sibling_id"]).alias("have"), F.array_append(state["added"], c).alias("added")),
+        ).otherwise(state),
+    )
+    added = lists.select(query_col, F.explode(folded["added"]).alias("c")).select(query_col, F.col("c.sibling_id").alias(id_col), F.col("c.rank").alias("rank"), F.lit(1).alias("after"))
+    every = kept.select(query_col, id_col, "rank", F.lit(0).alias("after")).unionByName(added)
+    order = Window.partitionBy(query_col).orderBy("rank", "after", id_col)
+    return every.select(query_col, id_col, F.row_number().over(order).alias("place"))

@@ -269,3 +269,72 @@ def slow_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG40 AGG7: share of slow answers per user, null without answers."""
     answered = F.col("status") == "answered"
     return request_log(spark, sf_dir).groupBy("user_id").agg(ratio((F.col("t_total_ms") > 1000), answered).alias("slow_share"))
+
+
+@query("STR8_headings", "SELECT doc_id, CASE WHEN starts_with(lower(text), lower(left(text, 4))) AND doc_id % 2 = 0 THEN length(text) ELSE length(text) + length(source) + 2 END AS n FROM documents")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR8: a heading stands before a text unless the text begins with it."""
+    heading = F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(4))).otherwise(F.col("source"))
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    full = F.when(F.startswith(norm(F.col("text")), norm(heading)), F.col("text")).otherwise(F.concat(heading, F.lit("\n\n"), "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(full).cast("long").alias("n"))
+
+
+@query("STR13_filled_prompts", "SELECT conv_id, turn, 'Role: ' || role || ' / {role} asks' AS prompt FROM conversations")
+def filled_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR13: a template filled in one pass: what a value holds is not filled again."""
+    template = "Role: {role} / {rest}"
+    values = {"role": F.col("role"), "rest": F.lit("{role} asks")}
+    parts, rest = [], template
+    while "{" in rest:
+        before, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        parts += [F.lit(before), values[name]]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(*parts, F.lit(rest)).alias("prompt"))
+
+
+@query("STR14_highlight_terms", r"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?'), lambda t: length(t) >= 3)))::INT AS n_terms FROM documents")
+def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR14: figures to highlight as printed, bare ones of three digits or more."""
+    runs = F.regexp_extract_all("text", F.lit(f"({N.NUMBER})"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.filter(runs, lambda t: F.length(t) >= 3))).alias("n_terms"))
+
+
+@query("FLT5_reply_gate", "SELECT event_id, CASE WHEN value < 10 THEN 'low_score' WHEN event_id % 3 = 0 THEN 'insufficient' WHEN event_id % 4 = 0 THEN 'no_valid_citations' END AS reason FROM events")
+def reply_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT5 FLT7: the first gate that stops an answer."""
+    from ..operators.answers import abstain_reason
+
+    c = F.col
+    cited = F.when(c("event_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("S1")))
+    reason = abstain_reason(F.lit(False), c("value") / 40, F.lit(True), c("event_id") % 3 == 0, cited)
+    return table(spark, sf_dir, "events").select("event_id", reason.alias("reason"))
+
+
+@query("FLT18_numeric_applies", f"WITH {_LOG} SELECT trace_id, route <> 'GENERAL' AND number_check IN ('pass', 'fail') AS applies FROM r WHERE number_check IS NOT NULL")
+def numeric_applies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT18: whether a numeric match is asked of a record."""
+    log = request_log(spark, sf_dir).where("number_check is not null")
+    return log.select("trace_id", ((F.col("route") != "GENERAL") & F.col("number_check").isin("pass", "fail")).alias("applies"))
+
+
+@query("PRJ8_examples", "SELECT source, 'What does ' || source || ' say in ' || max(lang) || '?' AS example FROM documents GROUP BY source")
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ8: an example question per company, of its latest period."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("lang").alias("latest"))
+    return rows.select("source", F.format_string("What does %s say in %s?", "source", "latest").alias("example"))
+
+
+@query("PRJ13_error_rows", f"WITH {_LOG} SELECT trace_id, 'error' AS status, 'crashed' AS error FROM r WHERE status = 'error' UNION ALL SELECT page_id, 'refused', 'too_long' FROM pages WHERE length(html) > 5000")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ13: rows for crashed requests and refused uploads."""
+    crashed = request_log(spark, sf_dir).where("status = 'error'").select("trace_id", F.lit("error").alias("status"), F.lit("crashed").alias("error"))
+    refused = table(spark, sf_dir, "pages").where(F.length("html") > 5000)
+    return crashed.unionAll(refused.select(F.col("page_id").alias("trace_id"), F.lit("refused").alias("status"), F.lit("too_long").alias("error")))
+
+
+@query("STM4_cancelled", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 9 = 0)")
+def cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM4: pages whose document has no tombstone."""
+    tombs = table(spark, sf_dir, "documents").where("doc_id % 9 = 0").select(F.col("doc_id").alias("page_id"))
+    return table(spark, sf_dir, "pages").join(tombs, "page_id", "left_anti").select("page_id")

@@ -260,3 +260,22 @@ def term_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([("apache",), ("mit",), ("license",), ("rights",)], "term string")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
     return docs.join(F.broadcast(terms), F.expr("low rlike concat('(^|[^a-z0-9])', term, '(\\'s)?([^a-z0-9]|$)')")).select("doc_id", "term")
+
+
+@query("STR1_term_counts", f"SELECT term, count(*) AS n FROM (SELECT unnest({terms_sql('text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 50")
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1: search terms that occur fifty times or more."""
+    from ..functions.text import search_terms
+
+    terms = table(spark, sf_dir, "documents").select(F.explode(search_terms(F.col("text"))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n")).where("n >= 50")
+
+
+@query("WIN7_context_with_siblings")
+def context_with_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN7 UDF5: fitted passages and, in the room left, the documents next to them by id."""
+    docs = table(spark, sf_dir, "documents")
+    hits = lexical(spark, sf_dir).where("rank <= 8").join(docs.select("doc_id", "text"), "doc_id")
+    kept = R.fit_context(hits, "item_id", "doc_id", "text", 3500)
+    beside = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("sibling_id"), token_estimate(F.col("text")).alias("sibling_tokens"))
+    return R.with_siblings(kept, beside, "item_id", "doc_id", 3500)
