@@ -16,11 +16,20 @@ from quillspark.llm.common import crc_bucket, saved
 LEAST_LANGUAGE = 0.4
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have (Spark's names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents of toxicity 0.5 or more. Null and empty texts score like clean ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(crc_bucket("doc_id", 5) != 0))
-    return toxicity.score(docs, model).where(F.col("toxicity") < 0.5).select(docs.columns)
+    name = _fresh(docs, "toxicity")
+    return toxicity.score(docs, model, out_col=name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +40,9 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     model = langid.train(docs.where(crc_bucket("doc_id", 3) != 1))
     if not model["langs"]:
         return docs
-    tagged = langid.predict(docs, model)
-    return tagged.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(docs.columns)
+    lang, share = _fresh(docs, "lang_pred"), _fresh(docs, "lang_score")
+    tagged = langid.predict(docs, model, lang_out=lang, score_out=share)
+    return tagged.where((F.col(lang) != "und") & (F.col(share) >= LEAST_LANGUAGE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

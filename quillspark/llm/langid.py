@@ -235,12 +235,12 @@ class Tagger:
         return sums, np.bincount(owner, minlength=len(cut))
 
 
-def predict(frame: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(frame: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
     """`frame` with lang_pred (a learned language; `und` for null texts and texts without a letter) and lang_score
-    (share of the words' probability that it holds, 0 for `und`). All rows and other columns stay."""
+    (share of the words' probability that it holds, 0 for `und`), under the names given. All rows and other columns stay."""
     langs = model["langs"]
     if not langs:
-        return frame.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
+        return frame.withColumns({lang_out: F.lit("und"), score_out: F.lit(0.0)})
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.pandas_udf(kind)
@@ -258,5 +258,6 @@ def predict(frame: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                     scores.append(float(sums[row, best[row]] / n[row]) if fits else 0.0)
             yield pd.DataFrame({"lang": names, "score": scores})
 
-    tagged = frame.withColumn("lang_tag", tag(text_of(text_col)))
-    return tagged.withColumns({"lang_pred": F.col("lang_tag.lang"), "lang_score": F.col("lang_tag.score")}).drop("lang_tag")
+    # one call gives both: the pair stays in the score's column until it is taken apart
+    tagged = frame.withColumn(score_out, tag(text_of(text_col)))
+    return tagged.withColumns({lang_out: F.col(score_out)["lang"], score_out: F.col(score_out)["score"]})

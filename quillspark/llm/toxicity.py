@@ -326,11 +326,11 @@ def _features_udf(table: np.ndarray, bias: float):
     return features
 
 
-def score(frame: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`frame` with the column toxicity (0 to 1; higher: likelier toxic). Null and empty texts score as a text
-    without fragments. All rows and columns stay; `toxicity` replaces a column of that name."""
+def score(frame: DataFrame, model: dict, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """`frame` with the column `out_col` (0 to 1; higher: likelier toxic). Null and empty texts score as a text
+    without fragments. All rows and columns stay; `out_col` replaces a column of that name."""
     if model["table"] is None:
-        return frame.withColumn("toxicity", F.lit(float(model["rate"])))
+        return frame.withColumn(out_col, F.lit(float(model["rate"])))
     table, bias, weights = model["table"], model["bias"], model["weights"]
 
     @F.pandas_udf(T.DoubleType())
@@ -340,4 +340,4 @@ def score(frame: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             x = np.concatenate([scorer(texts.iloc[low : low + 256]) for low in range(0, len(texts), 256)] or [np.empty((0, 4))])
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
-    return frame.withColumn("toxicity", toxicity(text_of(text_col)))
+    return frame.withColumn(out_col, toxicity(text_of(text_col)))
