@@ -4,14 +4,15 @@ A document's set of five-word shingles gives a signature of 128 min-hashes, b =
 similarity 0.75 differ in each symbol with probability 0.25 at most, so the distance (symbols that differ) of a
 linked pair is at most 51 of 128 but with probability 5e-5.
 
-Pigeonhole: cut into 27 chunks, two signatures within 51 errors agree up to one error in at least 2 chunks (26 chunks
+Pigeonhole: cut into 27 chunks, two signatures within 51 errors agree up to one error in at least one chunk (26 chunks
 with two errors would be 52). Allowing one error in a chunk means to leave out each of its symbols in turn, so every
 signature has 128 keys (chunk, symbol left out, the others) and every pair within the distance shares a key.
 
 Copies of one set are one class and join nothing twice. In a bucket, documents first meet only its smallest member;
-after the exact check of those pairs, only members that are not yet in one component meet each other. So a bucket
-of g near copies costs g pairs, not g * g. A bucket of many separate components is refined by a second chunk before
-its members meet, which the "at least 2 chunks" above makes exact.
+after the exact check of those pairs, only members that are not yet in one component meet each other. Small buckets
+do so in a join. Larger ones are compared by blocks of at most BLOCK members inside a task, which emits only pairs
+within the distance whose shingle counts by leading byte leave room for enough common shingles (an exact bound), each
+in the first bucket that the two share: neither all pairs of a bucket nor one pair from many buckets become rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .components import components
 
 SYMBOLS, ERRORS, CHUNKS, WORDS = 128, 51, 27, 5
 BOUNDS = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
-#: Buckets with more components than this are refined by a second chunk.
-REFINED = 64
+#: Buckets with more members than NARROW are compared by blocks of about BLOCK members, CELL_ROWS rows a task group.
+NARROW, BLOCK, CELL_ROWS = 12, 4096, 20_000
+#: Pairs that are checked in one task group, about; ids that may be broadcast.
+CELL_PAIRS, SMALL_IDS = 2_000, 1_000_000
 #: Distinct words whose hashes a worker remembers (twice as many at most).
 REMEMBERED = 300_000
 
@@ -137,21 +140,81 @@ def index_keys(reps: DataFrame, kind: str) -> DataFrame:
     return reps.select("rep", "sig").mapInPandas(run, f"key long, rep {kind}")
 
 
-def refined_keys(rows: DataFrame, kind: str) -> DataFrame:
-    """(key, rep, sig) to (key', rep): the key together with each key of the other chunks."""
+def could_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, bins: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs may be similar enough: sets share at most the sum over bins of the smaller count."""
+    most = np.minimum(bins[i], bins[j]).sum(axis=1, dtype=np.int64)
+    full = (bins[i] == 255).any(axis=1) & (bins[j] == 255).any(axis=1)  # 255 stands for 255 or more
+    most = np.where(full, np.minimum(n[i], n[j]), np.minimum(most, np.minimum(n[i], n[j])))
+    return most * 100 >= percent * (n[i] + n[j] - most)
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                keys, own = _chunk_keys(_sigs(part["sig"])), part["key"].values[:, None]
-                other = (keys & 31) != (own & 31)
-                with np.errstate(over="ignore"):
-                    both = _mix(_mix(keys.astype(np.uint64)) + own.astype(np.uint64)).astype(np.int64)
-                reps = np.repeat(part["rep"].values, SYMBOLS)
-                yield pd.DataFrame({"key": both.ravel()[other.ravel()], "rep": reps[other.ravel()]})
 
-    return rows.select("key", "rep", "sig").mapInPandas(run, f"key long, rep {kind}")
+def near_in_unit(
+    key: int, sigs: np.ndarray, n: np.ndarray, bins: np.ndarray, parts: np.ndarray, sides: np.ndarray, mixed: bool, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a unit (a bucket, or two of its blocks) within the distance, of different components, that the
+    bins do not rule out.
+
+    `mixed` units hold two blocks (sides 0 and 1) and only pairs across count. A pair is left to the first bucket
+    that the two signatures share.
+    """
+    rows = np.flatnonzero(sides == 0) if mixed else np.arange(len(sigs))
+    columns = np.flatnonzero(sides == 1) if mixed else rows
+    keys, left, right = _chunk_keys(sigs), [], []
+    for low in range(0, len(rows), 16):
+        some = rows[low : low + 16]
+        near = (sigs[some][:, None, :] != sigs[columns][None, :, :]).sum(axis=2, dtype=np.int16) <= ERRORS
+        near &= parts[some][:, None] != parts[columns][None, :]
+        if not mixed:
+            near &= some[:, None] < columns[None, :]
+        i, j = np.nonzero(near)
+        i, j = some[i], columns[j]
+        if len(i):
+            common = keys[i] == keys[j]
+            own = keys[i, common.argmax(axis=1)] == key
+            own[own] = could_link(i[own], j[own], n, bins, percent)
+            left.append(i[own])
+            right.append(j[own])
+    empty = np.empty(0, np.int64)
+    return np.concatenate(left or [empty]), np.concatenate(right or [empty])
+
+
+@F.pandas_udf(T.BinaryType())
+def shingle_bins(texts: pd.Series) -> pd.Series:
+    """How many of a text's shingles have each leading byte, 255 standing for 255 or more."""
+    counts = (np.bincount((shingles(t) >> np.uint64(56)).astype(np.int64), minlength=256) for t in texts)
+    return pd.Series([np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts])
+
+
+def block_pairs(rows: DataFrame, reps: DataFrame, docs: DataFrame, kind: str, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b) with a < b for buckets given as (key, rep, part, members), by blocks inside tasks."""
+    bins = saved(texts_of(rows.select(F.col("rep").alias("id")).distinct(), docs).select(F.col("id").alias("rep"), shingle_bins("text").alias("bins")))
+    bins = bins.groupBy("rep").agg(F.max("bins").alias("bins"))
+    cells = max(1, -(-rows.count() // CELL_ROWS))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    put = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    put = put.select(
+        "key", "rep", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+    )
+    put = put.withColumn("cell", F.pmod(F.xxhash64("key", "low", "high"), F.lit(cells)))
+    put = put.join(reps.select("rep", "n", "sig").join(bins, "rep"), "rep")
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        none, empty = batch["rep"].iloc[:0], batch["n"].iloc[:0]
+        out = [pd.DataFrame({"a": none, "b": none, "n_a": empty, "n_b": empty})]
+        for (key, low, high), unit in batch.groupby(["key", "low", "high"], sort=False):
+            parts = unit["part"].values
+            if (parts == parts[0]).all():
+                continue
+            counts = np.frombuffer(b"".join(unit["bins"]), np.uint8).reshape(-1, 256)
+            n, rep = unit["n"].values, unit["rep"].values
+            i, j = near_in_unit(key, _sigs(unit["sig"]), n, counts, parts, unit["side"].values, low != high, percent)
+            i, j = np.where(rep[i] < rep[j], i, j), np.where(rep[i] < rep[j], j, i)
+            out.append(pd.DataFrame({"a": rep[i], "b": rep[j], "n_a": n[i], "n_b": n[j]}))
+        return pd.concat(out)
+
+    return put.groupBy("cell").applyInPandas(compare, f"a {kind}, b {kind}, n_a long, n_b long")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -168,31 +231,49 @@ def shingle_bytes(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(t).tobytes() for t in texts])
 
 
-@F.pandas_udf(T.LongType())
-def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the intersection of two shingle sets."""
-    return pd.Series(
-        [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(a, b)],
-        dtype="int64",
-    )
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents (id, text) of a table of distinct ids: broadcast while they are at most SMALL_IDS, else joined by
+    shuffle."""
+    ids = saved(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "id", "left_semi")
 
 
-def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; the signature distance is looked at first."""
+def near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within the signature distance whose sizes do not rule them out, with the sizes n_a and n_b."""
     left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
-    near = pairs.join(left, "a").join(right, "b")
-    # sizes alone rule pairs out: the smaller set must hold `percent` of the larger one
-    near = near.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    near = saved(near.where(distance("sig_a", "sig_b") <= ERRORS).select("a", "b", "n_a", "n_b"))
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_bytes("text").alias("set"))
-    sets = saved(sets)
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"
-    )
-    counted = both.select("a", "b", "n_a", "n_b", shared("set_a", "set_b").alias("both"))
-    return saved(counted.where(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return both.where(distance("sig_a", "sig_b") <= ERRORS).select("a", "b", "n_a", "n_b")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, kind: str, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) whose full sets are similar enough.
+
+    Documents have a block each and pairs meet in the cell of their two blocks. A cell gets a document's set once,
+    however many of its pairs it holds, so a dense group ships its sets a few times, not once per pair.
+    """
+    pairs = saved(pairs)
+    sides = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = saved(texts_of(sides, docs).select("id", shingle_bytes("text").alias("set")))
+    blocks = max(1, int((pairs.count() / CELL_PAIRS) ** 0.5))
+
+    def block(column: str):
+        return F.pmod(F.xxhash64(column), F.lit(blocks))
+
+    dealt = pairs.withColumn("cell", block("a") * blocks + block("b"))
+    needed = dealt.select(F.col("cell").alias("unit"), F.col("a").alias("id")).union(dealt.select("cell", "b")).distinct()
+    shipped = needed.join(sets, "id")
+
+    def check(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        held = {key: np.frombuffer(raw, "<u8") for key, raw in zip(known["id"], known["set"])}
+        good = []
+        for a, b, n_a, n_b in zip(batch["a"], batch["b"], batch["n_a"], batch["n_b"]):
+            both = len(np.intersect1d(held[a], held[b], assume_unique=True)) if a in held and b in held else 0
+            good.append(100 * both >= percent * (n_a + n_b - both))
+        return batch.loc[good, ["a", "b"]]
+
+    return saved(dealt.groupBy("cell").cogroup(shipped.groupBy("unit")).applyInPandas(check, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -217,27 +298,22 @@ def near_duplicates(frame: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("key", "rep", "head")
     )
     first = buckets.where("rep <> head").groupBy("rep").agg(F.min("head").alias("head"))
-    links = linked(first.select(F.col("head").alias("a"), F.col("rep").alias("b")), reps, docs, percent)
+    links = linked(near(first.select(F.col("head").alias("a"), F.col("rep").alias("b")), reps, percent), docs, kind, percent)
     classes = saved(components(links))
 
     # members of a bucket that are still apart
     placed = buckets.select("key", "rep").join(
         classes.select(F.col("node").alias("rep"), "component_id"), "rep", "left"
     ).select("key", "rep", F.coalesce("component_id", "rep").alias("part"))
-    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.approx_count_distinct("part").alias("parts"))
-    apart = apart.where("low <> high").select("key", "parts")
+    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"))
+    apart = apart.where("low <> high").select("key", "members")
     open_rows = saved(placed.join(apart, "key"))
-    narrow = open_rows.where(F.col("parts") <= REFINED).select("key", "rep", "part")
-    wide = open_rows.where(F.col("parts") > REFINED)
-    second = refined_keys(wide.join(reps.select("rep", "sig"), "rep"), kind).join(wide.select("rep", "part").distinct(), "rep")
-    meeting = narrow.unionByName(second.select("key", "rep", "part"))
-    one, two = meeting.alias("x"), meeting.alias("y")
-    pairs = (
-        one.join(two, F.expr("x.key = y.key and x.rep < y.rep and x.part <> y.part"))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-    )
-    more = linked(pairs, reps, docs, percent)
+    narrow = open_rows.where(F.col("members") <= NARROW)
+    one, two = narrow.alias("x"), narrow.alias("y")
+    met = one.join(two, F.expr("x.key = y.key and x.rep < y.rep and x.part <> y.part"))
+    pairs = near(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), reps, percent)
+    wide = open_rows.where(F.col("members") > NARROW)
+    more = linked(pairs.union(block_pairs(wide, reps, docs, kind, percent)).distinct(), docs, kind, percent)
     classes = saved(components(links.union(more)))
 
     homes = reps.select("n", "f1", "f2", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
