@@ -1,8 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions alone.
 
-A mask such as 11011011 looks at some words of a span and ignores the others, so a passage keeps most of its seeds
+A mask such as 11011 looks at some words of a span and ignores the others, so a passage keeps most of its seeds
 when single words are substituted. Documents and benchmark items give one hash per mask and place; equal hashes are
-hits, and a hit fixes how the item lies over the document. There the words are compared one by one: the item counts
+hits, and a hit fixes how the item lies over the document. The masks leave a hit in every window that the check
+accepts: 12 equal words of 15 stand in runs of which one has four words, or all four have three and 11011 fits over
+two of them; shorter items have fewer substitutions. There the words are compared one by one: the item counts
 as found where some window of `window` words (all words of a shorter item) agrees in `share` of its places.
 
 The benchmark's hashes are broadcast while they are at most SMALL_ROWS (counted first); a larger benchmark is joined
@@ -16,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import saved, text_of
 
-# The masks.
+# The masks of the seeds; those of the DuckDB SQL, which finds less.
+SEEDS = ("1111", "11011")
 MASKS = ("11011011", "1011001011")
-WINDOW, SHARE = 15, 0.8
+#: Items of fewer words than LEAST_ITEM are not searched for.
+WINDOW, SHARE, LEAST_ITEM = 15, 0.8, 8
 #: Rows of a side that may be broadcast (about 40 bytes each).
 SMALL_ROWS = 1_000_000
 
@@ -49,10 +53,10 @@ def seeds(frame: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """(name, place, seed): every mask's hash at every place of every text."""
     hashed = frame.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(name), word_hashes(text_of(text_col)).alias("h"))
     counted = hashed.withColumn("n", F.size("h"))
-    each = counted.select(name, "n", F.posexplode(F.concat(*[_seeds(F.col("h"), k, m) for k, m in enumerate(MASKS)])).alias("at", "seed"))
+    each = counted.select(name, "n", F.posexplode(F.concat(*[_seeds(F.col("h"), k, m) for k, m in enumerate(SEEDS)])).alias("at", "seed"))
     # places count on over the masks in turn
     place, passed = None, F.lit(0)
-    for mask in MASKS:
+    for mask in SEEDS:
         own = F.greatest(F.col("n") - len(mask) + 1, F.lit(0))
         here = F.col("at") - passed
         place = F.when(here < own, here) if place is None else place.when(here < own, here)
@@ -90,11 +94,12 @@ def overlaps(
     """One row per document and benchmark item found in it: id, item, doc_word (where the item's first word lies, may
     be negative), n_agreeing and n_window (of the best window), n_matched (of the whole item), overlap.
 
-    Null and empty texts and texts shorter than every mask give nothing; rows with a null id are not searched; rows
+    Null and empty texts, texts of fewer than four words and items of fewer than LEAST_ITEM give nothing; rows with a null id are not searched; rows
     that repeat an id are searched as one document. Equal items each get their rows. Of several places, the one with
     most agreeing words counts, the earliest on ties. Other columns are not read.
     """
-    probes = saved(seeds(benchmark, item_col, item_text_col, "item").withColumnRenamed("place", "item_place").distinct())
+    sought = benchmark.where(F.size(word_hashes(text_of(item_text_col))) >= LEAST_ITEM)
+    probes = saved(seeds(sought, item_col, item_text_col, "item").withColumnRenamed("place", "item_place").distinct())
     hits = seeds(documents, id_col, text_col, "id").join(_small(probes, probes.count()), "seed")
     laid = saved(hits.select("id", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
     wanted = saved(laid.select("id").distinct())

@@ -1,5 +1,6 @@
 """The numbered operators against brute force on small tables, with nulls, empty texts, repeats and clashing columns."""
 
+import itertools
 import random
 import re
 import zlib
@@ -230,6 +231,40 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [2, 4, 5, 6]
 
 
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    items = [" ".join(rng.sample(WORDS, n)) for n in (8, 10, 12, 15)] + [prose(rng, 25), prose(rng, 60)]
+    texts = []
+    for item in items:
+        words = item.split()
+        wrong = [set(c) for e in (1, 2, 3) for c in itertools.combinations(range(len(words)), e) if len(words) <= 15 and (len(words) - e) / len(words) >= 0.8]
+        wrong += [set(range(phase, len(words), 5)) for phase in range(5)] + [set(range(phase, len(words), 4)) for phase in range(4)]
+        texts += ["p q " + " ".join("z" if k in out else w for k, w in enumerate(words)) + " r" for out in wrong]
+    texts += [" ".join("z" if k in (3, 7, 11) else w for k, w in enumerate(items[5].split()[20:35])), " ".join(items[0].split()[1:])]
+    expected = set()
+    for d, text in enumerate(texts):
+        have = text.split()
+        for i, item in enumerate(items):
+            words = item.split()
+            size = min(15, len(words))
+            for shift in range(-len(words), len(have)):
+                same = [0 <= shift + k < len(have) and have[shift + k] == w for k, w in enumerate(words)]
+                if max(sum(same[s : s + size]) for s in range(len(words) - size + 1)) * 5 >= size * 4:
+                    expected.add((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(docs(spark, texts), bench).collect()} == expected
+    assert len(expected) > 600
+
+
+def test_seeds_leave_a_hit_in_every_accepted_window():
+    for size in range(decontam.LEAST_ITEM, decontam.WINDOW + 1):
+        for wrong in itertools.combinations(range(size), size - -(-size * 4 // 5)):
+            assert any(
+                all(at + k not in wrong for k, c in enumerate(mask) if c == "1")
+                for mask in decontam.SEEDS for at in range(size - len(mask) + 1)
+            )
+
+
 def test_sharding(spark):
     rng = random.Random(6)
     texts = [prose(rng, rng.randint(5, 60)) for _ in range(600)] + ["same text"] * 60 + [None, "", "é" * 10]
