@@ -159,6 +159,12 @@ def near_in_unit(
     """
     rows = np.flatnonzero(sides == 0) if mixed else np.arange(len(sigs))
     columns = np.flatnonzero(sides == 1) if mixed else rows
+    if mixed:  # members of the only component of the other side have no pair to look at
+        for_rows, for_columns = parts[columns], parts[rows]
+        if len(for_rows) and (for_rows == for_rows[0]).all():
+            rows = rows[parts[rows] != for_rows[0]]
+        if len(for_columns) and (for_columns == for_columns[0]).all():
+            columns = columns[parts[columns] != for_columns[0]]
     keys, left, right = _chunk_keys(sigs), [], []
     for low in range(0, len(rows), 16):
         some = rows[low : low + 16]
@@ -186,17 +192,23 @@ def shingle_bins(texts: pd.Series) -> pd.Series:
 
 
 def block_pairs(rows: DataFrame, reps: DataFrame, docs: DataFrame, kind: str, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b) with a < b for buckets given as (key, rep, part, members), by blocks inside tasks."""
+    """(a, b, n_a, n_b) with a < b for buckets given as (key, rep, part, members), by blocks inside tasks.
+
+    Pairs of blocks that lie in a single component are not dealt. Task groups are as many as the dealt rows ask for.
+    """
     bins = saved(texts_of(rows.select(F.col("rep").alias("id")).distinct(), docs).select(F.col("id").alias("rep"), shingle_bins("text").alias("bins")))
     bins = bins.groupBy("rep").agg(F.max("bins").alias("bins"))
-    cells = max(1, -(-rows.count() // CELL_ROWS))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    put = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    put = put.select(
-        "key", "rep", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
+    held = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    # a block's components are all one when the least and the greatest are equal
+    edges = held.groupBy("key", "own").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n"))
+    one, two = edges.alias("x"), edges.alias("y")
+    met = one.join(two, F.expr("x.key = y.key and x.own <= y.own and (x.least <> x.most or y.least <> y.most or x.least <> y.least)"))
+    met = saved(met.select("x.key", F.col("x.own").alias("low"), F.col("y.own").alias("high"), F.expr("if(x.own = y.own, x.n, x.n + y.n)").alias("n")))
+    cells = max(1, -(-(met.agg(F.sum("n")).first()[0] or 0) // CELL_ROWS))
+    sides = met.select("key", F.col("low").alias("own"), "low", "high", F.lit(0).alias("side"))
+    sides = sides.union(met.where("low <> high").select("key", "high", "low", "high", F.lit(1)))
+    put = held.join(sides, ["key", "own"]).select("key", "rep", "part", "low", "high", "side")
     put = put.withColumn("cell", F.pmod(F.xxhash64("key", "low", "high"), F.lit(cells)))
     put = put.join(reps.select("rep", "n", "sig").join(bins, "rep"), "rep")
 

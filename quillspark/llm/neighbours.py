@@ -148,7 +148,8 @@ def link_counts(members: DataFrame, kind: str, threshold: float) -> DataFrame:
     put = members.join(sizes, "component_id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     put = put.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = max(1, math.ceil(members.count() / CELL_ROWS))
+    # every member is dealt once a block, so rows are counted as they are after that
+    cells = max(1, math.ceil((sizes.agg(F.sum(F.col("members") * F.ceil(F.col("members") / BLOCK))).first()[0] or 0) / CELL_ROWS))
     put = put.select(
         "component_id", "rep", "vec", "copies", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),

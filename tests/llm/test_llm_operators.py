@@ -98,6 +98,64 @@ def test_minhash_equals_brute_force(spark):
     assert all(got[i]["kept"] == (home[i] == i) for i in range(len(texts)))
 
 
+@pytest.fixture
+def task_groups(monkeypatch):
+    """Rows of the largest task group of each grouped map."""
+    from pyspark.sql.group import GroupedData
+
+    seen, plain = [], GroupedData.applyInPandas
+
+    def counted(self, f, schema):
+        seen.append((self.count().agg(F.sum("count"), F.max("count")).first()))
+        return plain(self, f, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", counted)
+    return seen
+
+
+def test_large_buckets_are_dealt_in_small_groups(spark, monkeypatch, task_groups):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "CELL_ROWS", 32)
+    rng = random.Random(4)
+    base = prose(rng, 60).split()
+    texts = [" ".join(base[:at] + [f"new{at}"] + base[at + 1 :]) for at in range(1, 59)] * 2
+    texts = [f"{t} tail{i}" for i, t in enumerate(texts)]
+    frame = docs(spark, texts)
+    reps = minhash.sketch(frame, "doc_id", "text").withColumnRenamed("id", "rep")
+    key = 5
+    plain = frame.select(F.col("doc_id").alias("id"), "text")
+
+    def dealt(part):
+        rows = reps.select(F.lit(key).cast("long").alias("key"), "rep", part.alias("part"), F.lit(len(texts)).alias("members"))
+        return minhash.block_pairs(rows, reps, plain, "long", 75).collect()
+
+    dealt(F.col("rep"))  # 15 blocks of about 8 members, 1,740 rows
+    total, most = task_groups.pop()
+    assert total > 1500 and most <= 160
+    dealt(F.when(F.col("rep") == 3, F.lit(3)).otherwise(F.lit(0)).cast("long"))  # one odd member: only its block meets others
+    assert task_groups.pop()[0] <= 2 * 15 * 16
+
+
+def test_units_of_one_component_on_a_side_lose_no_pair():
+    rng = np.random.RandomState(3)
+    sigs = np.tile(rng.randint(0, 65536, minhash.SYMBOLS).astype("<u2"), (20, 1))
+    n, bins, sides = np.full(20, 9), np.full((20, 256), 255, np.uint8), np.arange(20) % 2
+    key = int(minhash._chunk_keys(sigs[:1])[0, 0])
+    for parts in (np.where(sides == 0, np.arange(20) % 3, 1), np.where(sides == 1, np.arange(20) % 3, 2), np.zeros(20, int), np.arange(20)):
+        i, j = minhash.near_in_unit(key, sigs, n, bins, parts, sides, True, 75)
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(0, 20, 2) for b in range(1, 20, 2) if parts[a] != parts[b]}
+
+
+def test_dense_components_are_dealt_in_small_groups(spark, monkeypatch, task_groups):
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 32)
+    rows = [(1, i, 0, 2, [1.0, i / 10000], 1) for i in range(120)]
+    members = spark.createDataFrame(rows, "component_id long, rep long, label int, size int, vec array<float>, copies long")
+    counted = {r["rep"]: r["n_links"] for r in neighbours.link_counts(members, "long", 0.98).collect()}
+    total, most = task_groups.pop()
+    assert counted == dict.fromkeys(range(120), 119) and total == 120 * 15 and most <= 160
+
+
 def test_bins_never_rule_out_a_link():
     rng = random.Random(5)
     for _ in range(50):
