@@ -7,9 +7,11 @@ above the threshold, in double precision.
 
 A list that is full of links (saturated) cannot show them all. Therefore links only make components, and in each
 component every member is then compared with all others, by blocks inside tasks, which only emit counts: the lists
-are enlarged to the whole component without a row per pair. An audit compares a bounded sample of vectors with all
-vectors of their label; links that it misses join the graph, and below the wanted recall the descent goes on with
-longer lists.
+are enlarged to the whole component without a row per pair. A saturated list can also hide links to other components:
+vectors with such lists get further lists of neighbours outside their own component, by the same descent, until none
+of them reaches the threshold any more. Each round joins components, so no list stays saturated. An audit compares a
+bounded sample of vectors with all vectors of their label; links that it misses join the graph, and below the wanted
+recall the descent goes on with longer lists. A final recall under LEAST is an error.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import saved
 from .components import components
 
-LIST, BUCKET, BLOCK, CELL_ROWS, AUDITED, WANTED = 10, 32, 2048, 8_000, 256, 0.99
+LIST, BUCKET, BLOCK, CELL_ROWS, AUDITED, WANTED, LEAST = 10, 32, 2048, 8_000, 256, 0.99, 0.9
 
 
 def usable(vector: Column, label: Column) -> Column:
@@ -40,19 +42,22 @@ def _unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _top(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(source, target, similarity) of each row's k nearest others."""
+def _top(ids: np.ndarray, x: np.ndarray, parts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, target, similarity) of each row's k nearest rows of other parts."""
     if len(x) < 2:
         return ids[:0], ids[:0], np.empty(0)
     s = x @ x.T
-    np.fill_diagonal(s, -2)
+    s[parts[:, None] == parts[None, :]] = -2
     k = min(k, len(x) - 1)
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[near.ravel()], np.take_along_axis(s, near, 1).ravel()
+    value = np.take_along_axis(s, near, 1)
+    i, j = np.nonzero(value > -1.5)
+    return ids[i], ids[near[i, j]], value[i, j]
 
 
 def start_graph(reps: DataFrame, kind: str, most: int, threshold: float) -> DataFrame:
-    """(src, dst, sim) from buckets of random hyperplanes, `most` being the largest label's number of vectors."""
+    """(src, dst, sim) from buckets of random hyperplanes, `most` being the largest label's number of vectors; only
+    vectors of different `part` count as neighbours."""
     bits = max(0, math.ceil(math.log2(max(1, most) / BUCKET)))
     # the chance that two vectors just at the threshold share a bucket and a slice; tables until one in 2000 is missed
     together = 0.85 * (1 - math.acos(threshold) / math.pi) ** bits
@@ -66,10 +71,10 @@ def start_graph(reps: DataFrame, kind: str, most: int, threshold: float) -> Data
                     planes = np.random.RandomState(1000 + t).standard_normal((size, bits + 1))
                     side = x @ planes
                     code = ((side[:, :bits] > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                    yield pd.DataFrame({"label": part["label"].values, "size": size, "t": t, "code": code, "at": side[:, bits], "rep": part["rep"].values, "vec": part["vec"].values})
+                    yield pd.DataFrame({"label": part["label"].values, "size": size, "t": t, "code": code, "at": side[:, bits], "rep": part["rep"].values, "part": part["part"].values, "vec": part["vec"].values})
 
-    dealt = reps.select("label", "size", "rep", "vec").mapInPandas(
-        codes, f"label {dict(reps.dtypes)['label']}, size int, t int, code long, at double, rep {kind}, vec array<float>"
+    dealt = reps.select("label", "size", "rep", "part", "vec").mapInPandas(
+        codes, f"label {dict(reps.dtypes)['label']}, size int, t int, code long, at double, rep {kind}, part {kind}, vec array<float>"
     )
     # a bucket of many near vectors is dealt in slices of a further projection
     cells = max(1, math.ceil(reps.count() * tables / CELL_ROWS))
@@ -81,7 +86,7 @@ def start_graph(reps: DataFrame, kind: str, most: int, threshold: float) -> Data
             part = part.sort_values(["at", "rep"])
             for low in range(0, len(part), 256):
                 some = part.iloc[max(0, low - 32) : low + 256]
-                out.append(pd.DataFrame(dict(zip(("src", "dst", "sim"), _top(some["rep"].values, _unit(some["vec"]), LIST)))))
+                out.append(pd.DataFrame(dict(zip(("src", "dst", "sim"), _top(some["rep"].values, _unit(some["vec"]), pd.factorize(some["part"])[0], LIST)))))
         return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "sim": []})
 
     return dealt.groupBy("cell").applyInPandas(meet, f"src {kind}, dst {kind}, sim double")
@@ -94,25 +99,27 @@ def shortened(edges: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("r") <= k).drop("r")
 
 
-def descend(graph: DataFrame, reps: DataFrame, kind: str, k: int, emitted: int = 3) -> DataFrame:
-    """One round of neighbours-of-neighbours joins."""
-    back = graph.selectExpr("src", "dst", "row_number() over (partition by dst order by sim desc, src) as r").where(F.col("r") <= k)
-    both = graph.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(back.select(F.col("dst").alias("v"), F.col("src").alias("u")))
-    both = both.union(graph.select(F.col("src").alias("v"), F.col("src").alias("u"))).distinct()
+def descend(graph: DataFrame, reps: DataFrame, kind: str, k: int, emitted: int = 3, near: DataFrame | None = None) -> DataFrame:
+    """One round of neighbours-of-neighbours joins; edges of `near` are ways to neighbours, but no entries of lists."""
+    ways = graph if near is None else graph.union(near)
+    back = ways.selectExpr("src", "dst", "row_number() over (partition by dst order by sim desc, src) as r").where(F.col("r") <= k)
+    both = ways.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(back.select(F.col("dst").alias("v"), F.col("src").alias("u")))
+    both = both.union(ways.select(F.col("src").alias("v"), F.col("src").alias("u"))).distinct()
     worst = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
     worst = worst.select(F.col("src").alias("u"), F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).alias("worst"))
-    vectors = reps.select(F.col("rep").alias("u"), "vec").join(worst, "u", "left")
+    vectors = reps.select(F.col("rep").alias("u"), "part", "vec").join(worst, "u", "left")
     cells = max(1, math.ceil(both.count() / CELL_ROWS))
     put = both.join(vectors, "u").withColumn("cell", F.pmod(F.xxhash64("v"), F.lit(cells)))
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
         x, ids, worst = _unit(batch["vec"]), batch["u"].values, batch["worst"].fillna(-2.0).values
+        parts = pd.factorize(batch["part"])[0]
         out = [(ids[:0], ids[:0], np.empty(0))]
         for rows in batch.groupby("v", sort=False).indices.values():
             if len(rows) < 2:
                 continue
             s = x[rows] @ x[rows].T
-            np.fill_diagonal(s, -3)
+            s[parts[rows][:, None] == parts[rows][None, :]] = -3
             s[s <= worst[rows][:, None]] = -3
             m = min(emitted, len(rows) - 1)
             near = np.argpartition(-s, m - 1, axis=1)[:, :m]
@@ -124,6 +131,31 @@ def descend(graph: DataFrame, reps: DataFrame, kind: str, k: int, emitted: int =
     return put.groupBy("cell").applyInPandas(meet, f"src {kind}, dst {kind}, sim double")
 
 
+def across(
+    graph: DataFrame, links: DataFrame, classes: DataFrame, reps: DataFrame, kind: str, k: int, threshold: float, rounds: int
+) -> tuple[DataFrame, DataFrame]:
+    """`links` and `classes` with what saturated lists hide: vectors whose k entries are all links get lists of
+    neighbours outside their component, until these hold no link. A vector whose list has room finds its links itself.
+    """
+    full = graph.groupBy("src").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("least") >= threshold))
+    full = saved(reps.drop("part").join(full.select(F.col("src").alias("rep")), "rep"))
+    while True:
+        placed = full.join(classes.select(F.col("node").alias("rep"), F.col("component_id").alias("part")), "rep")
+        several = placed.groupBy("label", "size").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+        apart = saved(placed.join(several.select("label", "size"), ["label", "size"], "left_semi"))
+        most = apart.groupBy("label").count().agg(F.max("count")).first()[0]
+        if not most:
+            return links, classes
+        lists = saved(shortened(start_graph(apart, kind, most, threshold), k))
+        for _ in range(rounds):
+            lists = saved(shortened(lists.union(descend(lists, apart, kind, k, near=graph)), k))
+        more = saved(lists.where(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        if more.isEmpty():
+            return links, classes
+        links = links.union(more)
+        classes = saved(components(links))
+
+
 def audit(reps: DataFrame, kind: str, threshold: float, total: int) -> DataFrame:
     """(a, b): all links of a sample of about AUDITED vectors, by comparison with every vector of their label."""
     share = max(1, total // AUDITED)
@@ -191,6 +223,7 @@ def near_duplicates(
     fine = rows.where("ok")
     reps = saved(
         fine.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("size", F.size("vec"))
+        .withColumn("part", F.col("rep"))
     )
     per_label = reps.groupBy("label").count().agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
     most, total = per_label["most"] or 0, per_label["total"] or 0
@@ -201,7 +234,7 @@ def near_duplicates(
         for _ in range(rounds):
             graph = saved(shortened(graph.union(descend(graph, reps, kind, k)), k))
         links = graph.where(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        classes = saved(components(links))
+        links, classes = across(graph, links, saved(components(links)), reps, kind, k, threshold, rounds)
         true = saved(audit(reps, kind, threshold, total))
         home = classes.select("node", "component_id")
         judged = true.join(home.withColumnsRenamed({"node": "a", "component_id": "ca"}), "a", "left").join(
@@ -212,6 +245,8 @@ def near_duplicates(
         if figures["recall"] >= WANTED:
             break
         k *= 2  # lists are too short: longer ones, from where the descent has come
+    if figures["recall"] < LEAST:
+        raise RuntimeError(f"the neighbour lists miss too many links: {figures}")
     if links is None:
         classes = None
     elif figures["recall"] < 1.0:

@@ -191,6 +191,24 @@ def test_neighbours_equal_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(201, 206)) and figures["recall"] >= 0.9
 
 
+def test_saturated_lists_hide_no_link(spark, monkeypatch):
+    """Tight groups whose members fill each other's lists, linked with each other, without the audit's repair."""
+    monkeypatch.setattr(neighbours, "audit", lambda reps, kind, *_: reps.sparkSession.createDataFrame([], f"a {kind}, b {kind}"))
+    rng = np.random.RandomState(6)
+    step = np.arccos(0.985)
+    x = np.zeros((160, 16))
+    for i in range(160):
+        place = (0, 1, 2, 6)[i % 4]  # a chain of three groups and one apart
+        x[i, :2] = np.cos(place * step), np.sin(place * step)
+    x = (x + 1e-3 * rng.standard_normal(x.shape)).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.98) & ~np.eye(160, dtype=bool)
+    got = {r["vec_id"]: r for r in neighbours.near_duplicates(frame)[0].collect()}
+    assert [got[i]["component_id"] for i in range(160)] == [3 if i % 4 == 3 else 0 for i in range(160)]
+    assert [got[i]["n_links"] for i in range(160)] == link.sum(axis=1).tolist()
+
+
 def test_packing(spark):
     rng = random.Random(4)
     texts = [None, "", "word", "Ünïcode ＡＢ 中文 \x1c x", *[prose(rng, rng.randint(1, 900)) for _ in range(30)], prose(rng, 6000)]
