@@ -113,7 +113,7 @@ def task_groups(monkeypatch):
     return seen
 
 
-def test_large_buckets_are_dealt_in_small_groups(spark, monkeypatch, task_groups):
+def test_large_groups_are_dealt_in_small_task_groups(spark, monkeypatch, task_groups):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "CELL_ROWS", 32)
     rng = random.Random(4)
@@ -121,29 +121,71 @@ def test_large_buckets_are_dealt_in_small_groups(spark, monkeypatch, task_groups
     texts = [" ".join(base[:at] + [f"new{at}"] + base[at + 1 :]) for at in range(1, 59)] * 2
     texts = [f"{t} tail{i}" for i, t in enumerate(texts)]
     frame = docs(spark, texts)
-    reps = minhash.sketch(frame, "doc_id", "text").withColumnRenamed("id", "rep")
-    key = 5
-    plain = frame.select(F.col("doc_id").alias("id"), "text")
+    reps = minhash.sketch(frame, "doc_id", "text").withColumn("rep", F.col("id"))
+    bins = minhash.sets_of(reps.select("rep", "id", "n", "f1", "f2"), frame.select(F.col("doc_id").alias("id"), "text"), "bins", minhash._bins)
 
-    def dealt(part):
-        rows = reps.select(F.lit(key).cast("long").alias("key"), "rep", part.alias("part"), F.lit(len(texts)).alias("members"))
-        return minhash.block_pairs(rows, reps, plain, "long", 75).collect()
+    def dealt(part, units):
+        rows = reps.select(F.lit(5).cast("long").alias("g"), "rep", F.lit(len(texts)).cast("long").alias("members"), part.cast("long").alias("part"))
+        return {(r["a"], r["b"]) for r in minhash.compared(units(rows), reps, bins, 75).collect()}
 
-    dealt(F.col("rep"))  # 15 blocks of about 8 members, 1,740 rows
+    everything = dealt(F.col("rep"), minhash.block_pairs)  # 15 blocks of about 8 members
     total, most = task_groups.pop()
-    assert total > 1500 and most <= 160
-    dealt(F.when(F.col("rep") == 3, F.lit(3)).otherwise(F.lit(0)).cast("long"))  # one odd member: only its block meets others
-    assert task_groups.pop()[0] <= 2 * 15 * 16
+    assert total > 1500 and most <= 160 and len(everything) > 1000
+    odd = dealt(F.when(F.col("rep") == 3, 3).otherwise(0), minhash.block_pairs)  # one odd member: the others' blocks do not meet
+    assert odd == {pair for pair in everything if 3 in pair} and task_groups.pop()[0] <= 2 * len(texts)
+    some = dealt(F.col("rep"), lambda rows: minhash.single_blocks(rows, 1))
+    assert some < everything and task_groups.pop()[0] == len(texts)
 
 
-def test_units_of_one_component_on_a_side_lose_no_pair():
+def test_units_of_two_blocks_lose_no_pair():
     rng = np.random.RandomState(3)
-    sigs = np.tile(rng.randint(0, 65536, minhash.SYMBOLS).astype("<u2"), (20, 1))
-    n, bins, sides = np.full(20, 9), np.full((20, 256), 255, np.uint8), np.arange(20) % 2
-    key = int(minhash._chunk_keys(sigs[:1])[0, 0])
-    for parts in (np.where(sides == 0, np.arange(20) % 3, 1), np.where(sides == 1, np.arange(20) % 3, 2), np.zeros(20, int), np.arange(20)):
-        i, j = minhash.near_in_unit(key, sigs, n, bins, parts, sides, True, 75)
-        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(0, 20, 2) for b in range(1, 20, 2) if parts[a] != parts[b]}
+    sigs = np.tile(rng.randint(0, 65536, minhash.SYMBOLS).astype("<u2"), (40, 1))
+    n, bins, sides = np.full(40, 9), np.full((40, 256), 255, np.uint8), np.arange(40) % 2
+    for parts in (np.where(sides == 0, np.arange(40) % 3, 1), np.where(sides == 1, np.arange(40) % 3, 2), np.zeros(40, int), np.arange(40)):
+        i, j = minhash.near_in_unit(sigs, n, bins, parts, sides, True, 75)
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(0, 40, 2) for b in range(1, 40, 2) if parts[a] != parts[b]}
+        i, j = minhash.near_in_unit(sigs, n, bins, parts, sides * 0, False, 75)
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(40) for b in range(a + 1, 40) if parts[a] != parts[b]}
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, b + " z"), (4, "something else entirely"), (None, a), (5, a), (5, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 4, True), (None, None, False), (5, 1, False), (5, 1, False)], key=str)
+    left = minhash.without_near_duplicates(frame.withColumn("TEXT_HASH", F.lit(1))).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted([(1, a), (1, b), (4, "something else entirely"), (None, a)], key=str)
+    assert minhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_minhash_recall_on_planted_copies(spark):
+    """Two thousand documents with groups of near copies, against all pairs that share a shingle."""
+    rng = random.Random(31)
+    texts = []
+    while len(texts) < 2000:
+        base = prose(rng, rng.randint(20, 200)).split()
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 8, 30])):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(copy) // 25))):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randint(0, 999)}"
+            texts.append(" ".join(copy))
+    sets = [shingle_set(t) for t in texts]
+    holders, common = {}, {}
+    for i, s in enumerate(sets):
+        for x in s:
+            for j in holders.setdefault(x, []):
+                common[j, i] = common.get((j, i), 0) + 1
+            holders[x].append(i)
+    home = list(range(len(texts)))
+    links = [(i, j) for (i, j), n in common.items() if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n)]
+    for _ in range(20):
+        for i, j in links:
+            home[i] = home[j] = min(home[i], home[j])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    right = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 2000 and right >= 0.99 * len(links) and sum(got[i] == home[i] for i in got) >= 0.99 * len(got)
 
 
 def test_dense_components_are_dealt_in_small_groups(spark, monkeypatch, task_groups):
@@ -161,7 +203,7 @@ def test_bins_never_rule_out_a_link():
     for _ in range(50):
         base = [rng.getrandbits(64) for _ in range(200)]
         a, b = sorted(set(base[:180])), sorted(set(base[10:200]))
-        bins = np.stack([np.minimum(np.bincount([x >> 56 for x in s], minlength=256), 255).astype(np.uint8) for s in (a, b)])
+        bins = np.stack([np.frombuffer(minhash._bins(np.array(s, np.uint64)), np.uint8) for s in (a, b)])
         both = len(set(a) & set(b))
         if 100 * both >= 75 * (len(a) + len(b) - both):
             assert minhash.could_link(np.array([0]), np.array([1]), np.array([len(a), len(b)]), bins, 75)[0]
