@@ -1,17 +1,20 @@
 """Embedding near-dedup by NN-descent.
 
-Exact copies (same label and vector) are one class. The neighbour graph starts from hash buckets of random
-hyperplanes and is refined by neighbours-of-neighbours joins: each vector gathers its neighbours and those that have
-it as theirs, and the members of such a neighbourhood are compared with each other. Links are the graph's edges at or
-above the threshold, in double precision.
-
-A list that is full of links (saturated) cannot show them all. Therefore links only make components, and in each
-component every member is then compared with all others, by blocks inside tasks, which only emit counts: the lists
-are enlarged to the whole component without a row per pair. A saturated list can also hide links to other components:
-vectors with such lists get further lists of neighbours outside their own component, by the same descent, until none
-of them reaches the threshold any more. Each round joins components, so no list stays saturated. An audit compares a
-bounded sample of vectors with all vectors of their label; links that it misses join the graph, and below the wanted
-recall the descent goes on with longer lists. A final recall under LEAST is an error.
+Exact copies (same label and vector) are one class. Vectors travel as one signed byte a component; the error that this
+can make in a cosine has a proven bound, so an edge is a possible link unless the bound rules it out, and only possible
+links are compared in double precision, a vector being sent to a task once however many of its edges meet there.
+
+The neighbour graph starts from a few hash tables of random hyperplanes and is refined by neighbours-of-neighbours joins:
+each vector gathers its neighbours and those that have it as theirs, the members of such a neighbourhood are compared
+with each other, and every list keeps its best entries. Later rounds look at neighbourhoods with a new edge that a link
+can follow from. When few lists change, lists that are full of possible links (saturated) are doubled, up to LONGEST.
+
+Links are the edges at or above the threshold. A component with a vector of LIST or more possible links is crowded:
+there, every member is compared with all others by blocks inside tasks, which only emit counts (lists enlarged to the
+whole component, without a row a pair), and those vectors get further lists of neighbours outside their own component, by
+the same descent, until none of them holds a link. So no cap on a list hides a link. An audit compares a bounded sample of vectors with all vectors of their label: links that it
+misses are added, a recall of edges under WANTED starts another descent from further tables, and one under LEAST at the
+end is an error.
 """
 
 from __future__ import annotations
@@ -25,8 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import saved
 from .components import components
+from .minhash import small
 
-LIST, BUCKET, BLOCK, CELL_ROWS, AUDITED, WANTED, LEAST = 10, 32, 2048, 8_000, 256, 0.99, 0.9
+#: Entries of a list at first and at most; junk edges of a vector that the first round follows.
+LIST, LONGEST, WAYS = 8, 16, 3
+#: Members of a start bucket (about), tables of a start, rounds at most, and the share of lists under which a change is small.
+BUCKET, TABLES, ROUNDS, SETTLED = 128, 8, 4, 0.002
+#: Members of a block, rows and pairs of a task group, about.
+BLOCK, CELL_ROWS, CELL_PAIRS = 2048, 8_000, 20_000
+#: Audited vectors (about), the recall of edges that is wanted and that which is required, and descents at most.
+AUDITED, WANTED, LEAST, ATTEMPTS = 256, 0.99, 0.9, 3
 
 
 def usable(vector: Column, label: Column) -> Column:
@@ -36,127 +47,227 @@ def usable(vector: Column, label: Column) -> Column:
 
 
 def _unit(vectors) -> np.ndarray:
-    x = np.array(list(vectors), dtype=np.float64)
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     # dividing by the largest component first keeps tiny and huge vectors from under- and overflowing
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _top(ids: np.ndarray, x: np.ndarray, parts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(source, target, similarity) of each row's k nearest rows of other parts."""
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as signed bytes and the step of each."""
+    step = np.abs(x).max(axis=1) / 127
+    return np.rint(x / step[:, None]).astype(np.int8), step
+
+
+def _decoded(codes, steps) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors, and what each adds to the largest error of a cosine: half a step times the other's sum of components."""
+    q = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1)
+    steps = np.asarray(steps)
+    return q.astype(np.float32) * steps[:, None].astype(np.float32), 0.5 * steps * (math.sqrt(q.shape[1]) * (1 + 0.5 * steps.max()) + q.shape[1] * steps.max()) + 1e-6
+
+
+def coded(reps: DataFrame) -> DataFrame:
+    """rep, label, size, code, step of each class."""
+    label = dict(reps.dtypes)["label"]
+
+    def run(batches):
+        for batch in batches:
+            for _, part in batch.groupby("size", sort=False):
+                for at in range(0, len(part), 2000):
+                    some = part.iloc[at : at + 2000]
+                    q, step = encode(_unit(some["vec"]))
+                    yield pd.DataFrame({"rep": some["rep"].values, "label": some["label"].values, "size": some["size"].values, "code": [r.tobytes() for r in q], "step": step})
+
+    return reps.select("rep", "label", "size", "vec").mapInPandas(run, f"rep long, label {label}, size int, code binary, step double")
+
+
+EDGES = "src long, dst long, sim double, may boolean"
+
+
+def _edges(src=(), dst=(), sim=(), may=()) -> pd.DataFrame:
+    return pd.DataFrame({"src": np.asarray(src, np.int64), "dst": np.asarray(dst, np.int64), "sim": np.asarray(sim, float), "may": np.asarray(may, bool)})
+
+
+def _top(ids: np.ndarray, x: np.ndarray, spare: np.ndarray, parts: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
+    """Each row's k nearest rows of other parts, as edges."""
     if len(x) < 2:
-        return ids[:0], ids[:0], np.empty(0)
+        return _edges()
     s = x @ x.T
-    s[parts[:, None] == parts[None, :]] = -2
+    s[parts[:, None] == parts[None, :]] = -3
     k = min(k, len(x) - 1)
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(s, near, 1)
-    i, j = np.nonzero(value > -1.5)
-    return ids[i], ids[near[i, j]], value[i, j]
+    i, j = np.nonzero(value > -2.5)
+    to, value = near[i, j], value[i, j]
+    return _edges(ids[i], ids[to], value, value + spare[i] + spare[to] >= threshold)
 
 
-def start_graph(reps: DataFrame, kind: str, most: int, threshold: float) -> DataFrame:
-    """(src, dst, sim) from buckets of random hyperplanes, `most` being the largest label's number of vectors; only
-    vectors of different `part` count as neighbours."""
-    bits = max(0, math.ceil(math.log2(max(1, most) / BUCKET)))
-    # the chance that two vectors just at the threshold share a bucket and a slice; tables until one in 2000 is missed
-    together = 0.85 * (1 - math.acos(threshold) / math.pi) ** bits
-    tables = max(2, min(32, math.ceil(math.log(0.0005) / math.log(1 - together))))
+def start_graph(vectors: DataFrame, threshold: float, seed: int = 0, k: int = LIST) -> DataFrame:
+    """Edges from TABLES tables of random hyperplanes; only vectors of different `part` count as neighbours.
 
-    def codes(batches):
+    A bucket of many near vectors meets in slices: they have neighbours enough there, and the descent finds the rest.
+    """
+    most = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    bits = max(0, math.ceil(math.log2(most / BUCKET)))
+    def hashed(batches):
         for batch in batches:
-            for (_, size), part in batch.groupby(["label", "size"], sort=False):
-                x = _unit(part["vec"])
-                for t in range(tables):
-                    planes = np.random.RandomState(1000 + t).standard_normal((size, bits + 1))
+            for size, part in batch.groupby("size", sort=False):
+                x, _ = _decoded(part["code"], part["step"])
+                for t in range(TABLES):
+                    planes = np.random.RandomState(1000 + 100 * seed + t).standard_normal((size, bits + 1)).astype(np.float32)
                     side = x @ planes
-                    code = ((side[:, :bits] > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                    yield pd.DataFrame({"label": part["label"].values, "size": size, "t": t, "code": code, "at": side[:, bits], "rep": part["rep"].values, "part": part["part"].values, "vec": part["vec"].values})
+                    bucket = ((side[:, :bits] > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+                    out = part[["own", "size", "rep", "part", "code", "step"]]
+                    yield out.assign(bucket=bucket * TABLES + t, at=side[:, bits])
 
-    dealt = reps.select("label", "size", "rep", "part", "vec").mapInPandas(
-        codes, f"label {dict(reps.dtypes)['label']}, size int, t int, code long, at double, rep {kind}, part {kind}, vec array<float>"
+    dealt = vectors.select(F.xxhash64("label").alias("own"), "size", "rep", "part", "code", "step").mapInPandas(
+        hashed, "own long, size int, rep long, part long, code binary, step double, bucket long, at float"
     )
-    # a bucket of many near vectors is dealt in slices of a further projection
-    cells = max(1, math.ceil(reps.count() * tables / CELL_ROWS))
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("label", "size", "t", "code", F.floor(F.col("at") * 8)), F.lit(cells)))
+    # a bucket is named by a hash of its label, vector size, table and code
+    dealt = dealt.select(F.xxhash64("own", "size", "bucket").alias("bucket"), "size", "at", "rep", "part", "code", "step")
+    cells = max(1, math.ceil(vectors.count() * TABLES / CELL_ROWS))
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("bucket", F.floor(F.col("at") * 8)), F.lit(cells)))
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in batch.groupby(["label", "size", "t", "code"], sort=False):
+        out = [_edges()]
+        for _, part in batch.groupby(["size", "bucket"], sort=False):
             part = part.sort_values(["at", "rep"])
             for low in range(0, len(part), 256):
                 some = part.iloc[max(0, low - 32) : low + 256]
-                out.append(pd.DataFrame(dict(zip(("src", "dst", "sim"), _top(some["rep"].values, _unit(some["vec"]), pd.factorize(some["part"])[0], LIST)))))
-        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "sim": []})
+                x, spare = _decoded(some["code"], some["step"])
+                out.append(_top(some["rep"].values, x, spare, pd.factorize(some["part"])[0], k, threshold))
+        return pd.concat(out)
 
-    return dealt.groupBy("cell").applyInPandas(meet, f"src {kind}, dst {kind}, sim double")
+    return dealt.groupBy("cell").applyInPandas(meet, EDGES)
 
 
-def shortened(edges: DataFrame, k: int) -> DataFrame:
-    """Each source's k best edges."""
-    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
+def shortened(edges: DataFrame, lengths: DataFrame | None = None, k: int = LIST) -> DataFrame:
+    """Each source's best edges: k of them, or as many as `lengths` (src, k) gives it."""
+    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("may").alias("may"))
     ranked = once.selectExpr("*", "row_number() over (partition by src order by sim desc, dst) as r")
-    return ranked.where(F.col("r") <= k).drop("r")
-
-
-def descend(graph: DataFrame, reps: DataFrame, kind: str, k: int, emitted: int = 3, near: DataFrame | None = None) -> DataFrame:
-    """One round of neighbours-of-neighbours joins; edges of `near` are ways to neighbours, but no entries of lists."""
-    ways = graph if near is None else graph.union(near)
-    back = ways.selectExpr("src", "dst", "row_number() over (partition by dst order by sim desc, src) as r").where(F.col("r") <= k)
-    both = ways.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(back.select(F.col("dst").alias("v"), F.col("src").alias("u")))
-    both = both.union(ways.select(F.col("src").alias("v"), F.col("src").alias("u"))).distinct()
-    worst = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
-    worst = worst.select(F.col("src").alias("u"), F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).alias("worst"))
-    vectors = reps.select(F.col("rep").alias("u"), "part", "vec").join(worst, "u", "left")
+    if lengths is None:
+        return ranked.where(F.col("r") <= k).drop("r")
+    return ranked.join(small(lengths), "src", "left").where(F.col("r") <= F.coalesce("k", F.lit(k))).drop("r", "k")
+
+
+def descend(ways: DataFrame, vectors: DataFrame, threshold: float, hubs: DataFrame | None = None, back: int = LONGEST, emitted: int = 4) -> DataFrame:
+    """One neighbours-of-neighbours join: the members of each vector's neighbourhood (`ways` from it, the best of those
+    to it, itself) meet; each of them gives its `emitted` nearest others of other parts. Only `hubs` (v) have a
+    neighbourhood, all vectors without them."""
+    to = ways.selectExpr("src", "dst", "row_number() over (partition by dst order by sim desc, src) as r").where(F.col("r") <= back)
+    both = ways.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(to.select(F.col("dst").alias("v"), F.col("src").alias("u")))
+    both = both.union(ways.select(F.col("src").alias("v"), F.col("src").alias("u")))
+    both = saved((both if hubs is None else both.join(small(hubs), "v", "left_semi")).distinct())
     cells = max(1, math.ceil(both.count() / CELL_ROWS))
-    put = both.join(vectors, "u").withColumn("cell", F.pmod(F.xxhash64("v"), F.lit(cells)))
+    put = both.join(vectors.select(F.col("rep").alias("u"), "part", "size", "code", "step"), "u")
+    put = put.withColumn("cell", F.pmod(F.xxhash64("v"), F.lit(cells)))
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
-        x, ids, worst = _unit(batch["vec"]), batch["u"].values, batch["worst"].fillna(-2.0).values
-        parts = pd.factorize(batch["part"])[0]
-        out = [(ids[:0], ids[:0], np.empty(0))]
-        for rows in batch.groupby("v", sort=False).indices.values():
-            if len(rows) < 2:
-                continue
-            s = x[rows] @ x[rows].T
-            s[parts[rows][:, None] == parts[rows][None, :]] = -3
-            s[s <= worst[rows][:, None]] = -3
-            m = min(emitted, len(rows) - 1)
-            near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            value = np.take_along_axis(s, near, 1)
-            i, j = np.nonzero(value > -2.5)
-            out.append((ids[rows[i]], ids[rows[near[i, j]]], value[i, j]))
-        return pd.DataFrame({c: np.concatenate([o[n] for o in out]) for n, c in enumerate(("src", "dst", "sim"))})
-
-    return put.groupBy("cell").applyInPandas(meet, f"src {kind}, dst {kind}, sim double")
+        out = [_edges()]
+        for _, same in batch.groupby("size", sort=False):
+            ids, parts = same["u"].values, pd.factorize(same["part"])[0]
+            x, spare = _decoded(same["code"], same["step"])
+            for rows in same.groupby("v", sort=False).indices.values():
+                out.append(_top(ids[rows], x[rows], spare[rows], parts[rows], emitted, threshold))
+        return pd.concat(out).drop_duplicates(["src", "dst"])
+
+    return put.groupBy("cell").applyInPandas(meet, EDGES)
+
+
+def refined(lists: DataFrame, vectors: DataFrame, threshold: float, ways: DataFrame | None = None) -> DataFrame:
+    """`lists` after the descent; edges of `ways` are ways to neighbours too, but no entries of lists.
+
+    Two links in a row leave a cosine of 2 t * t - 1 at least, so edges under that are followed in the first round
+    alone, the best WAYS of each vector.
+    """
+    reach = 2 * threshold * threshold - 1 - 0.05
+    lengths = None
+    for turn in range(ROUNDS):
+        near = lists if ways is None else lists.unionByName(ways)
+        useful = near.where((F.col("sim") >= reach) | F.col("may"))
+        if turn == 0:
+            first = near.selectExpr("src", "dst", "sim", "may", "row_number() over (partition by src order by sim desc, dst) as r")
+            found = descend(saved(first.where((F.col("r") <= WAYS) | F.col("may") | (F.col("sim") >= reach)).drop("r")), vectors, threshold, None, WAYS + LIST)
+        else:
+            found = descend(useful, vectors, threshold, hubs)
+        after = saved(shortened(lists.union(found), lengths))
+        new = saved(after.join(lists.select("src", "dst"), ["src", "dst"], "left_anti").where((F.col("sim") >= reach) | F.col("may")))
+        held = after.where("may").groupBy("src").agg(F.count("*").alias("n"))
+        every = after.groupBy("src").agg(F.count("*").alias("n"), F.count_if("may").alias("good"))
+        # lists that are full of possible links are doubled
+        known = F.lit(LIST) if lengths is None else F.coalesce("k", F.lit(LIST))
+        sized = every if lengths is None else every.join(small(lengths), "src", "left")
+        longer = sized.where((F.col("good") == F.col("n")) & (F.col("n") >= known) & (known < LONGEST)).select("src", (known * 2).alias("k"))
+        longer = saved(longer)
+        changed, full, lists = new.select("src").distinct().count(), longer.count(), after
+        if changed <= SETTLED * held.count() and not full:
+            break
+        if full:
+            rest = longer if lengths is None else lengths.join(longer, "src", "left_anti").union(longer)
+            lengths = saved(rest)
+        hubs = new.select(F.col("src").alias("v")).union(new.select("dst")).union(longer.select("src")).distinct()
+        hubs = saved(hubs)
+    return lists
+
+
+def confirmed(edges: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: the possible links whose cosine in double precision is at least the threshold.
+
+    Classes have a block each and pairs meet in the cell of their two blocks, which gets a vector once.
+    """
+    pairs = saved(edges.where("may").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    blocks = max(1, math.ceil((pairs.count() / CELL_PAIRS) ** 0.5))
+
+    def block(column: str):
+        return F.pmod(F.xxhash64(column), F.lit(blocks))
+
+    dealt = pairs.withColumn("cell", block("a") * blocks + block("b"))
+    needed = dealt.select(F.col("cell").alias("unit"), F.col("a").alias("rep")).union(dealt.select("cell", "b")).distinct()
+    shipped = needed.join(reps.select("rep", "vec"), "rep")
+
+    def check(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(batch):
+            return batch[["a", "b"]]
+        ids, good = pd.Index(known["rep"]), np.zeros(len(batch), bool)
+        left, right = ids.get_indexer(batch["a"]), ids.get_indexer(batch["b"])
+        sizes = known["vec"].map(len).values
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            x, place = _unit(known["vec"].values[rows]), np.full(len(known), -1)
+            place[rows] = np.arange(len(rows))
+            own = np.flatnonzero((place[left] >= 0) & (place[right] >= 0))
+            for at in range(0, len(own), 4096):
+                some = own[at : at + 4096]
+                good[some] = (x[place[left[some]]] * x[place[right[some]]]).sum(axis=1) >= threshold
+        return batch.loc[good, ["a", "b"]]
+
+    return saved(dealt.groupBy("cell").cogroup(shipped.groupBy("unit")).applyInPandas(check, "a long, b long"))
 
 
 def across(
-    graph: DataFrame, links: DataFrame, classes: DataFrame, reps: DataFrame, kind: str, k: int, threshold: float, rounds: int
+    full: DataFrame, lists: DataFrame, links: DataFrame, classes: DataFrame, vectors: DataFrame, reps: DataFrame, threshold: float
 ) -> tuple[DataFrame, DataFrame]:
-    """`links` and `classes` with what saturated lists hide: vectors whose k entries are all links get lists of
-    neighbours outside their component, until these hold no link. A vector whose list has room finds its links itself.
+    """`links` and `classes` with what full lists hide: the vectors of `full` (rep) get lists of neighbours outside
+    their component, until these hold no link. A vector whose list has room finds its links itself.
     """
-    full = graph.groupBy("src").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("least") >= threshold))
-    full = saved(reps.drop("part").join(full.select(F.col("src").alias("rep")), "rep"))
+    held, seed = saved(vectors.drop("part").join(small(full), "rep", "left_semi")), 50
     while True:
-        placed = full.join(classes.select(F.col("node").alias("rep"), F.col("component_id").alias("part")), "rep")
+        placed = held.join(classes.select(F.col("node").alias("rep"), F.col("component_id").alias("part")), "rep")
         several = placed.groupBy("label", "size").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
         apart = saved(placed.join(several.select("label", "size"), ["label", "size"], "left_semi"))
-        most = apart.groupBy("label").count().agg(F.max("count")).first()[0]
-        if not most:
+        if apart.isEmpty():
             return links, classes
-        lists = saved(shortened(start_graph(apart, kind, most, threshold), k))
-        for _ in range(rounds):
-            lists = saved(shortened(lists.union(descend(lists, apart, kind, k, near=graph)), k))
-        more = saved(lists.where(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        start = saved(shortened(start_graph(apart, threshold, seed)))
+        outside = refined(start, apart, threshold, lists)
+        home = classes.select(F.col("node").alias("dst"), "component_id")
+        more = confirmed(outside.join(home, "dst", "left_semi"), reps, threshold)
         if more.isEmpty():
             return links, classes
-        links = links.union(more)
+        links, seed = saved(links.union(more).distinct()), seed + 1
         classes = saved(components(links))
 
 
-def audit(reps: DataFrame, kind: str, threshold: float, total: int) -> DataFrame:
+def audit(reps: DataFrame, threshold: float, total: int) -> DataFrame:
     """(a, b): all links of a sample of about AUDITED vectors, by comparison with every vector of their label."""
     share = max(1, total // AUDITED)
     asked = reps.where(F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(share)) == 0).select("rep", "label", "size", "vec").limit(4 * AUDITED).toPandas()
@@ -167,15 +278,18 @@ def audit(reps: DataFrame, kind: str, threshold: float, total: int) -> DataFrame
             for key, part in batch.groupby(["label", "size"], sort=False):
                 if key in groups:
                     ids, x = groups[key]
-                    i, j = np.nonzero(_unit(part["vec"]) @ x.T >= threshold)
-                    a, b = part["rep"].values[i], ids[j]
-                    yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+                    for at in range(0, len(part), 2000):
+                        some = part.iloc[at : at + 2000]
+                        i, j = np.nonzero(_unit(some["vec"]) @ x.T >= threshold)
+                        a, b = some["rep"].values[i], ids[j]
+                        yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
-    return reps.select("rep", "label", "size", "vec").mapInPandas(ask, f"a {kind}, b {kind}")
+    found = reps.select("rep", "label", "size", "vec").mapInPandas(ask, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_counts(members: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """(rep, n_links) in each component, copies counted: members have component_id, rep, label, size, vec, copies."""
+def link_counts(members: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n_links) in each component, copies counted: members have component_id, rep, vec, copies."""
     sizes = members.groupBy("component_id").agg(F.count("*").alias("members"))
     put = members.join(sizes, "component_id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     put = put.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -203,67 +317,79 @@ def link_counts(members: DataFrame, kind: str, threshold: float) -> DataFrame:
                     out.append((unit["rep"].values[right], copies[some] @ near))
         return pd.DataFrame({"rep": np.concatenate([r for r, _ in out]), "n_links": np.concatenate([n for _, n in out])})
 
-    counted = put.groupBy("cell").applyInPandas(count, f"rep {kind}, n_links long")
+    counted = put.groupBy("cell").applyInPandas(count, "rep long, n_links long")
     return counted.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
 
 
 def near_duplicates(
-    frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98,
-    rounds: int = 2,
+    frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98
 ) -> tuple[DataFrame, dict]:
-    """One row per input row (id, n_links, component_id, kept), and the audit's figures.
+    """One row per input row (id, n_links, component_id, kept), and figures: recall of the audited edges before they
+    are added, audited_links, attempts, dense (vectors with LIST or more possible links).
 
     Vectors link when their labels are equal and their cosine is at least `threshold`. Null, empty or zero vectors,
     vectors with a null or non-finite component and vectors without a label link with nothing, nor do vectors of
-    different lengths; rows with a null id are not linked. Rows that repeat an id are copies. Other columns are not read.
+    different lengths; rows with a null id are not linked. Rows that repeat an id are rows of their own, linked by their
+    own vectors. Ties between equally near neighbours go by an inner number and decide no link. An empty table gives no
+    rows. Other columns are not read.
     """
-    kind = dict(frame.dtypes)[id_col]
-    rows = frame.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.col(label_col).alias("label"))
+    element = "float" if dict(frame.dtypes)[vec_col] == "array<float>" else "double"
+    rows = frame.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{element}>").alias("vec"), F.col(label_col).alias("label"))
     rows = rows.withColumn("ok", usable(F.col("vec"), F.col("label")) & F.col("id").isNotNull())
-    fine = rows.where("ok")
-    reps = saved(
-        fine.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("size", F.size("vec"))
-        .withColumn("part", F.col("rep"))
+    # two hashes of 64 bits stand for the label and the vector
+    rows = rows.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("label", "vec")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "label", "vec"))})
+    same = rows.where("ok").groupBy("h1", "h2").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec")
     )
-    per_label = reps.groupBy("label").count().agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
-    most, total = per_label["most"] or 0, per_label["total"] or 0
-    k, figures = LIST, {"recall": 1.0, "audited_links": 0, "list": LIST}
-    graph = saved(shortened(start_graph(reps, kind, most, threshold), k)) if total else None
-    links = None
-    for attempt in range(3 if total else 0):
-        for _ in range(rounds):
-            graph = saved(shortened(graph.union(descend(graph, reps, kind, k)), k))
-        links = graph.where(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        links, classes = across(graph, links, saved(components(links)), reps, kind, k, threshold, rounds)
-        true = saved(audit(reps, kind, threshold, total))
-        home = classes.select("node", "component_id")
-        judged = true.join(home.withColumnsRenamed({"node": "a", "component_id": "ca"}), "a", "left").join(
-            home.withColumnsRenamed({"node": "b", "component_id": "cb"}), "b", "left"
-        )
-        seen = judged.agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("found")).first()
-        figures = {"recall": seen["found"] / seen["n"] if seen["n"] else 1.0, "audited_links": seen["n"], "list": k}
-        if figures["recall"] >= WANTED:
-            break
-        k *= 2  # lists are too short: longer ones, from where the descent has come
-    if figures["recall"] < LEAST:
-        raise RuntimeError(f"the neighbour lists miss too many links: {figures}")
-    if links is None:
-        classes = None
-    elif figures["recall"] < 1.0:
-        classes = saved(components(links.union(true.select("a", "b"))))
-    if classes is None:
-        return rows.select(
-            F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
-            F.col("id").isNotNull().alias("kept"),
-        ), figures
-    members = saved(reps.join(classes.withColumnRenamed("node", "rep"), "rep"))
-    counted = link_counts(members, kind, threshold)
-    homes = members.select("rep", "component_id").join(counted, "rep", "left")
-    known = reps.select("label", "vec", "rep", "copies").join(homes, "rep", "left").select(
-        "label", "vec", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("home")
+    reps = saved(same.withColumn("rep", F.monotonically_increasing_id()).withColumn("size", F.size("vec")))
+    total = reps.count()
+    figures = {"recall": 1.0, "audited_links": 0, "attempts": 0, "dense": 0}
+    counted, classes = None, None
+    if total:
+        vectors = saved(coded(reps)).withColumn("part", F.col("rep"))
+        lists = None
+        true = saved(audit(reps, threshold, total))
+        for attempt in range(ATTEMPTS):
+            start = start_graph(vectors, threshold, attempt)
+            lists = saved(shortened(start if lists is None else lists.union(start), None, LIST if lists is None else LONGEST))
+            lists = refined(lists, vectors, threshold)
+            links = confirmed(lists, reps, threshold)
+            classes = saved(components(links))
+            state = lists.where("may").groupBy("src").agg(F.count("*").alias("good"))
+            full = saved(state.where(F.col("good") >= LIST).select(F.col("src").alias("rep")))
+            dense = full.count()
+            if dense:
+                links, classes = across(full, lists, links, classes, vectors, reps, threshold)
+            crowded = saved(classes.join(full.withColumnRenamed("rep", "node"), "node", "left_semi").select("component_id").distinct())
+            home = classes.join(crowded.withColumn("crowded", F.lit(True)), "component_id", "left")
+            judged = true.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+            judged = judged.join(home.select(F.col("node").alias("a"), F.col("component_id").alias("ca"), "crowded"), "a", "left")
+            judged = judged.join(home.select(F.col("node").alias("b"), F.col("component_id").alias("cb")), "b", "left")
+            seen = judged.agg(F.count("*").alias("n"), F.count_if(F.col("linked") | (F.col("crowded") & (F.col("ca") == F.col("cb")))).alias("found")).first()
+            figures = {"recall": seen["found"] / seen["n"] if seen["n"] else 1.0, "audited_links": seen["n"], "attempts": attempt + 1, "dense": dense}
+            if figures["recall"] >= WANTED:
+                break
+        if figures["recall"] < LEAST:
+            raise RuntimeError(f"the neighbour lists miss too many links: {figures}")
+        if figures["recall"] < 1.0:
+            links = saved(links.union(true).distinct())
+            classes = saved(components(links))
+            crowded = saved(classes.join(full.withColumnRenamed("rep", "node"), "node", "left_semi").select("component_id").distinct())
+        placed = saved(reps.join(classes.withColumnRenamed("node", "rep"), "rep"))
+        counted = link_counts(placed.join(crowded, "component_id", "left_semi"), threshold)
+        # elsewhere, links are the edges, copies counted
+        sparse = placed.join(crowded, "component_id", "left_anti").select("rep", "copies")
+        ends = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).union(links.select("b", "a"))
+        ends = ends.join(sparse.select("rep"), "rep", "left_semi").join(sparse.select(F.col("rep").alias("to"), "copies"), "to")
+        counted = counted.union(ends.groupBy("rep").agg(F.sum("copies").alias("n_links")))
+        parts = reps.select("h1", "h2", "rep", "id", "copies").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
+        parts = parts.select("h1", "h2", "id", "copies", "n_links", F.coalesce("component_id", "rep").alias("part"))
+        least = parts.groupBy("part").agg(F.min("id").alias("home"))
+        known = parts.join(least, "part").select("h1", "h2", "home", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        rows = rows.select("id", "h1", "h2").join(known, ["h1", "h2"], "left")
+    else:
+        rows = rows.select("id", F.lit(0).alias("n_links"), F.col("id").alias("home"))
+    out = rows.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("home", "id").alias("component_id"),
     )
-    out = rows.join(known.withColumn("ok", F.lit(True)), ["ok", "label", "vec"], "left")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("home", "id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))), figures
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))), figures

@@ -191,9 +191,9 @@ def test_minhash_recall_on_planted_copies(spark):
 def test_dense_components_are_dealt_in_small_groups(spark, monkeypatch, task_groups):
     monkeypatch.setattr(neighbours, "BLOCK", 8)
     monkeypatch.setattr(neighbours, "CELL_ROWS", 32)
-    rows = [(1, i, 0, 2, [1.0, i / 10000], 1) for i in range(120)]
-    members = spark.createDataFrame(rows, "component_id long, rep long, label int, size int, vec array<float>, copies long")
-    counted = {r["rep"]: r["n_links"] for r in neighbours.link_counts(members, "long", 0.98).collect()}
+    rows = [(1, i, [1.0, i / 10000], 1) for i in range(120)]
+    members = spark.createDataFrame(rows, "component_id long, rep long, vec array<float>, copies long")
+    counted = {r["rep"]: r["n_links"] for r in neighbours.link_counts(members, 0.98).collect()}
     total, most = task_groups.pop()
     assert counted == dict.fromkeys(range(120), 119) and total == 120 * 15 and most <= 160
 
@@ -235,7 +235,7 @@ def test_neighbours_equal_brute_force(spark):
 
 def test_saturated_lists_hide_no_link(spark, monkeypatch):
     """Tight groups whose members fill each other's lists, linked with each other, without the audit's repair."""
-    monkeypatch.setattr(neighbours, "audit", lambda reps, kind, *_: reps.sparkSession.createDataFrame([], f"a {kind}, b {kind}"))
+    monkeypatch.setattr(neighbours, "audit", lambda reps, *_: reps.sparkSession.createDataFrame([], "a long, b long"))
     rng = np.random.RandomState(6)
     step = np.arccos(0.985)
     x = np.zeros((160, 16))
@@ -251,6 +251,43 @@ def test_saturated_lists_hide_no_link(spark, monkeypatch):
     assert [got[i]["n_links"] for i in range(160)] == link.sum(axis=1).tolist()
 
 
+def test_descent_finds_what_the_start_graph_misses(spark, monkeypatch):
+    """One table alone, without the audit's repair: buckets cut the pairs apart, neighbours' neighbours join them."""
+    monkeypatch.setattr(neighbours, "audit", lambda reps, *_: reps.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(neighbours, "TABLES", 1)
+    monkeypatch.setattr(neighbours, "BUCKET", 16)
+    rng = np.random.RandomState(8)
+    x = np.concatenate([c + 0.09 * rng.standard_normal((7, 16)) * np.linalg.norm(c) / 4 for c in rng.standard_normal((40, 16))])
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    reps = frame.select(F.col("vec_id").alias("rep"), "label", F.col("embedding").alias("vec"), F.size("embedding").alias("size"))
+    vectors = neighbours.coded(reps).withColumn("part", F.col("rep"))
+    start = {(min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in neighbours.start_graph(vectors, 0.98).where("may").collect()}
+    true = {(int(i), int(j)) for i, j in zip(*np.nonzero(link)) if i < j}
+    assert len(true - start) > 0.1 * len(true) and true - start
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(frame)[0].collect()}
+    assert sum(got[i] == n for i, n in enumerate(link.sum(axis=1))) >= 0.95 * len(x)
+
+
+def test_repeated_vector_ids_are_rows_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (3, [0.01, 1.0], 0), (None, [1.0, 0.0], 0), (4, [1.0, 1.0], 0), (5, [-1.0, 0.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in neighbours.near_duplicates(frame)[0].collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (None, 0, None, False), (4, 0, 4, True), (5, 0, 5, True)], key=str)
+    assert neighbours.near_duplicates(frame.limit(0))[0].count() == 0
+
+
+def test_bytes_never_rule_out_a_link():
+    rng = np.random.RandomState(5)
+    x = rng.standard_normal((300, 24)) * np.exp(2 * rng.standard_normal((300, 24)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, step = neighbours.encode(x)
+    y, spare = neighbours._decoded([r.tobytes() for r in q], step)
+    assert (np.abs(x @ x.T - y.astype(float) @ y.T.astype(float)) <= spare[:, None] + spare[None, :]).all()
+
+
 def test_packing(spark):
     rng = random.Random(4)
     texts = [None, "", "word", "Ünïcode ＡＢ 中文 \x1c x", *[prose(rng, rng.randint(1, 900)) for _ in range(30)], prose(rng, 6000)]
