@@ -147,9 +147,10 @@ def _fit(chains: list[list[int]], labels: list[np.ndarray], words: list[bytes],
 
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """A model from documents with a language and a letter; `langs` is empty where there is none.
+    """A model from documents with a language and a text; `langs` is empty where there is none.
 
-    Copies of a text count once. With one language alone, every word has it.
+    Copies of a text count once, with the language of the smallest id. With one language alone, every word has it. Rows
+    that repeat an id count by their texts.
     """
     usable = documents.where(F.col(lang_col).isNotNull() & (F.length(text_of(text_col)) > 0))
     chosen = bounded_sample(usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "id", SAMPLE)
@@ -159,7 +160,7 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cut = lambda words: [words[i : i + LONGEST_TRAINED] for i in range(0, len(words), LONGEST_TRAINED)]
         return pd.Series([[part for line in lines_of(t) for part in cut(line)] for t in texts])
 
-    sample = chosen.dropDuplicates(["text"]).select("lang", chains_of("text").alias("chains")).cache()
+    sample = chosen.groupBy("text").agg(F.min_by("lang", "id").alias("lang")).select("lang", chains_of("text").alias("chains")).cache()
     langs = [r["lang"] for r in sample.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         sample.unpersist()
@@ -175,7 +176,9 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         share = np.log(n / total * total.mean() + 0.5)
         lexicon[word] = (share - share.mean()).astype(np.float32)
     rows = sample.select("lang", F.explode("chains").alias("chain"))
-    rows = rows.orderBy(F.xxhash64("chain")).limit(LINES).collect()
+    # each language has its share of the lines, so that a rare one is learnt too
+    rows = rows.selectExpr("*", "row_number() over (partition by lang order by xxhash64(chain), chain) as r")
+    rows = rows.where(F.col("r") <= max(1, LINES // len(langs))).orderBy(F.xxhash64("chain"), "lang").collect()
     sample.unpersist()
     index: dict[bytes, int] = {}
     chains = [[index.setdefault(bytes(w), len(index)) for w in r["chain"]] for r in rows]
@@ -211,8 +214,8 @@ class Tagger:
         self.known: dict[bytes, int] = {}
         self.table = np.empty((0, self.n), np.float32)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Languages' sums (texts x languages) and words per text."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Languages' sums (texts x languages), words per text, and the sums of each word's likeliest language."""
         if len(self.known) > REMEMBERED:
             self.known, self.table = {}, self.table[:0]
         known, cut = self.known, [lines_of(t) for t in texts]
@@ -228,36 +231,45 @@ class Tagger:
         chains = [line for lines in cut for line in lines]
         owner = np.repeat(np.arange(len(cut)), [sum(map(len, lines)) for lines in cut])
         if not chains:
-            return np.zeros((len(cut), self.n)), np.zeros(len(cut))
+            return np.zeros((len(cut), self.n)), np.zeros(len(cut)), np.zeros(len(cut))
         ids = np.fromiter((known[w] for line in chains for w in line), np.int64, len(owner))
         post = marginals(self.table[ids], np.array([len(c) for c in chains]), self.move)[0]
         sums = np.column_stack([np.bincount(owner, post[:, k], len(cut)) for k in range(self.n)])
-        return sums, np.bincount(owner, minlength=len(cut))
+        return sums, np.bincount(owner, minlength=len(cut)), np.bincount(owner, post.max(axis=1), len(cut))
 
 
-def predict(frame: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
+def predict(
+    frame: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score", sure_out: str | None = None
+) -> DataFrame:
     """`frame` with lang_pred (a learned language; `und` for null texts and texts without a letter) and lang_score
-    (share of the words' probability that it holds, 0 for `und`), under the names given. All rows and other columns stay."""
+    (share of the words' probability that it holds, 0 for `und`), under the names given, and where `sure_out` is named,
+    the mean probability of each word's own likeliest language (high for clear words of several languages).
+
+    All rows and other columns stay, repeated rows too; columns of the names given are replaced. Texts are tagged whole,
+    in time proportional to their length. Of equally likely languages, the first by name counts. An empty table gives
+    no rows."""
     langs = model["langs"]
     if not langs:
-        return frame.withColumns({lang_out: F.lit("und"), score_out: F.lit(0.0)})
-    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+        return frame.withColumns({lang_out: F.lit("und"), score_out: F.lit(0.0)} | ({sure_out: F.lit(0.0)} if sure_out else {}))
+    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType())])
 
     @F.pandas_udf(kind)
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
         for texts in batches:
-            names, scores = [], []
+            names, scores, sure = [], [], []
             for low in range(0, len(texts), 512):
                 part = list(texts.iloc[low : low + 512])
-                sums, n = tagger(part)
+                sums, n, clear = tagger(part)
                 best = sums.argmax(axis=1)
                 for row, text in enumerate(part):
                     fits = n[row] > 0 and _LETTER.search(text) is not None
                     names.append(langs[best[row]] if fits else "und")
                     scores.append(float(sums[row, best[row]] / n[row]) if fits else 0.0)
-            yield pd.DataFrame({"lang": names, "score": scores})
+                    sure.append(float(clear[row] / n[row]) if fits else 0.0)
+            yield pd.DataFrame({"lang": names, "score": scores, "sure": sure})
 
-    # one call gives both: the pair stays in the score's column until it is taken apart
+    # one call gives all: the struct stays in the score's column until it is taken apart
     tagged = frame.withColumn(score_out, tag(text_of(text_col)))
-    return tagged.withColumns({lang_out: F.col(score_out)["lang"], score_out: F.col(score_out)["score"]})
+    named = {lang_out: F.col(score_out)["lang"], score_out: F.col(score_out)["score"]}
+    return tagged.withColumns(named | ({sure_out: F.col(score_out)["sure"]} if sure_out else {}))

@@ -68,7 +68,7 @@ def _machine():
     for label, notices in NOTICES.items():
         for notice in notices:
             k = allowed_errors(notice)
-            patterns.append((label, notice, k, regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}")))
+            patterns.append((label, notice, k, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?![^ ])")))
             for offset, piece in pieces(notice):
                 wanted.setdefault(piece, []).append((len(patterns) - 1, offset))
     for piece, places in wanted.items():
@@ -82,44 +82,70 @@ def normal_form(text: str | None) -> str:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()).decode("utf-8", "replace")
 
 
+def _at_word_ends(norm: str, start: int, end: int) -> bool:
+    """Whether a span begins and ends where words do."""
+    return (start == 0 or norm[start - 1] == " ") and (end == len(norm) or norm[end] == " ")
+
+
 def fuzzy_spans(norm: str) -> list[tuple[str, int, int, int, float]]:
-    """(label, start, end, errors, score) of notices in a normal form; start and end are its character positions."""
+    """(label, start, end, errors, score) of notices in a normal form; start and end are its character positions.
+
+    Every seed has a window of its own, the notice's length and its edits on both sides; the same window is looked at
+    once. Of a notice's spans that overlap, the one with fewest errors stays, then the longest, then the first. A span
+    begins and ends with a word.
+    """
     automaton, patterns = _machine()
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[int]] = {}
     for end, (size, places) in automaton.iter(norm):
         for which, offset in places:
-            _, notice, k, _ = patterns[which]
-            start = end + 1 - size - offset - k
-            stop = start + len(notice) + 2 * k
-            start = max(0, start)
-            held = windows.setdefault(which, [])
-            if held and start <= held[-1][1]:  # overlapping windows are one
-                held[-1] = [min(held[-1][0], start), max(held[-1][1], stop)]
-            else:
-                held.append([start, stop])
+            windows.setdefault(which, set()).add(end + 1 - size - offset)
     found = []
-    for which, spans in windows.items():
-        label, notice, _, pattern = patterns[which]
-        for start, stop in spans:
-            at = start
-            while m := pattern.search(norm, at, stop):
-                errors = sum(m.fuzzy_counts)
-                found.append((label, m.start(), m.end(), errors, 1 - errors / len(notice)))
-                at = max(m.end(), at + 1)
+    for which, starts in windows.items():
+        label, notice, k, pattern = patterns[which]
+        spans, looked, last = {}, -1, None
+        for start in sorted(starts):
+            low = max(0, start - k)
+            # the words that a window touches are looked at whole
+            low, high = norm.rfind(" ", 0, low + 1) + 1 if low else 0, min(len(norm), start + len(notice) + k)
+            high = len(norm) if (stop := norm.find(" ", high)) < 0 or stop > high + 2 * k else stop
+            high = min(high, start + len(notice) + 4 * k)
+            if (low, high) == last:
+                continue
+            last = low, high
+            window = norm[low:high]
+            if m := pattern.search(window):
+                errors, at, to = sum(m.fuzzy_counts), low + m.start(), low + m.end()
+                if _at_word_ends(norm, at, to):
+                    spans[at, to] = min(errors, spans.get((at, to), errors))
+        taken: list[tuple[int, int]] = []
+        for (at, to), errors in sorted(spans.items(), key=lambda x: (x[0][0], x[0][1])):
+            # spans come by start, so only the last one kept can overlap
+            while taken and at < taken[-1][1]:
+                if (spans[taken[-1]], taken[-1][0] - taken[-1][1]) <= (errors, at - to):
+                    break
+                taken.pop()
+            else:
+                taken.append((at, to))
+        found += [(label, at, to, spans[at, to], 1 - spans[at, to] / len(notice)) for at, to in taken]
     return sorted(found)
 
 
+@lru_cache(maxsize=1)
+def _base_pattern():
+    import regex
+
+    phrases = "|".join(regex.escape(p, literal_spaces=True) for p in sorted(BASE, key=len, reverse=True))
+    return regex.compile(f"(?<![^ ])(?:{phrases})(?![^ ])")
+
+
 def base_hits(norm: str) -> tuple[int, int | None, int | None, list[str]]:
-    """Places, first and last word index, and labels of the base phrases."""
-    padded, n, first, last, labels = f" {norm} ", 0, None, None, set()
-    for phrase, label in BASE.items():
-        at = padded.find(f" {phrase} ")
-        while at >= 0:
-            word = padded.count(" ", 0, at)
-            n, labels = n + 1, labels | {label}
-            first = word if first is None else min(first, word)
-            last = word if last is None else max(last, word)
-            at = padded.find(f" {phrase} ", at + 1)
+    """Places, first and last word index, and labels of the base phrases. Words are counted on from place to place."""
+    n, first, last, labels, at, word = 0, None, None, set(), 0, 0
+    for m in _base_pattern().finditer(norm, overlapped=True):
+        word += norm.count(" ", at, m.start())
+        at, n = m.start(), n + 1
+        labels.add(BASE[m[0]])
+        first, last = word if first is None else first, word
     return n, first, last, sorted(labels)
 
 
@@ -127,7 +153,8 @@ def scan_licenses(frame: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, spans of fuzzy notices.
 
     Spans are character positions in the normal form (words with one blank between). Null and empty texts have no
-    words, hits or spans; repeated rows give repeated results; other columns of `frame` are not read.
+    words, hits or spans; repeated rows give repeated results; an empty table gives no rows; texts are searched whole, in
+    time proportional to their length. Equal spans of several labels are all reported. Other columns are not read.
     """
     kind = dict(frame.dtypes)[id_col]
 

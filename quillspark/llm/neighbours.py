@@ -4,7 +4,7 @@ Exact copies (same label and vector) are one class. Vectors travel as one signed
 can make in a cosine has a proven bound, so an edge is a possible link unless the bound rules it out, and only possible
 links are compared in double precision, a vector being sent to a task once however many of its edges meet there.
 
-The neighbour graph starts from a few hash tables of random hyperplanes and is refined by neighbours-of-neighbours joins:
+The neighbour graph starts from a few hash tables of random hyperplanes and random edges and is refined by neighbours-of-neighbours joins:
 each vector gathers its neighbours and those that have it as theirs, the members of such a neighbourhood are compared
 with each other, and every list keeps its best entries. Later rounds look at neighbourhoods with a new edge that a link
 can follow from. When few lists change, lists that are full of possible links (saturated) are doubled, up to LONGEST.
@@ -30,8 +30,8 @@ from .common import saved
 from .components import components
 from .minhash import small
 
-#: Entries of a list at first and at most; junk edges of a vector that the first round follows.
-LIST, LONGEST, WAYS = 8, 16, 3
+#: Entries of a list at first and at most; edges of a vector that the first EXPLORED rounds follow however long they are.
+LIST, LONGEST, WAYS, EXPLORED = 8, 16, 3, 1
 #: Members of a start bucket (about), tables of a start, rounds at most, and the share of lists under which a change is small.
 BUCKET, TABLES, ROUNDS, SETTLED = 128, 8, 4, 0.002
 #: Members of a block, rows and pairs of a task group, about.
@@ -103,7 +103,8 @@ def _top(ids: np.ndarray, x: np.ndarray, spare: np.ndarray, parts: np.ndarray, k
 
 
 def start_graph(vectors: DataFrame, threshold: float, seed: int = 0, k: int = LIST) -> DataFrame:
-    """Edges from TABLES tables of random hyperplanes; only vectors of different `part` count as neighbours.
+    """Edges from TABLES tables of random hyperplanes and one of random buckets, whose edges join what hyperplanes part;
+    only vectors of different `part` count as neighbours.
 
     A bucket of many near vectors meets in slices: they have neighbours enough there, and the descent finds the rest.
     """
@@ -113,19 +114,21 @@ def start_graph(vectors: DataFrame, threshold: float, seed: int = 0, k: int = LI
         for batch in batches:
             for size, part in batch.groupby("size", sort=False):
                 x, _ = _decoded(part["code"], part["step"])
+                out = part[["own", "size", "rep", "part", "code", "step"]]
+                random = (part["rep"].values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % (1 << bits)
+                yield out.assign(bucket=random * (TABLES + 1) + TABLES, at=np.float32(0))
                 for t in range(TABLES):
                     planes = np.random.RandomState(1000 + 100 * seed + t).standard_normal((size, bits + 1)).astype(np.float32)
                     side = x @ planes
                     bucket = ((side[:, :bits] > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                    out = part[["own", "size", "rep", "part", "code", "step"]]
-                    yield out.assign(bucket=bucket * TABLES + t, at=side[:, bits])
+                    yield out.assign(bucket=bucket * (TABLES + 1) + t, at=side[:, bits])
 
     dealt = vectors.select(F.xxhash64("label").alias("own"), "size", "rep", "part", "code", "step").mapInPandas(
         hashed, "own long, size int, rep long, part long, code binary, step double, bucket long, at float"
     )
     # a bucket is named by a hash of its label, vector size, table and code
     dealt = dealt.select(F.xxhash64("own", "size", "bucket").alias("bucket"), "size", "at", "rep", "part", "code", "step")
-    cells = max(1, math.ceil(vectors.count() * TABLES / CELL_ROWS))
+    cells = max(1, math.ceil(vectors.count() * (TABLES + 1) / CELL_ROWS))
     dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("bucket", F.floor(F.col("at") * 8)), F.lit(cells)))
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
@@ -177,15 +180,15 @@ def descend(ways: DataFrame, vectors: DataFrame, threshold: float, hubs: DataFra
 def refined(lists: DataFrame, vectors: DataFrame, threshold: float, ways: DataFrame | None = None) -> DataFrame:
     """`lists` after the descent; edges of `ways` are ways to neighbours too, but no entries of lists.
 
-    Two links in a row leave a cosine of 2 t * t - 1 at least, so edges under that are followed in the first round
-    alone, the best WAYS of each vector.
+    Two links in a row leave a cosine of 2 t * t - 1 at least, so edges under that are followed in the first EXPLORED
+    rounds alone, the best WAYS of each vector.
     """
     reach = 2 * threshold * threshold - 1 - 0.05
     lengths = None
     for turn in range(ROUNDS):
         near = lists if ways is None else lists.unionByName(ways)
         useful = near.where((F.col("sim") >= reach) | F.col("may"))
-        if turn == 0:
+        if turn < EXPLORED:
             first = near.selectExpr("src", "dst", "sim", "may", "row_number() over (partition by src order by sim desc, dst) as r")
             found = descend(saved(first.where((F.col("r") <= WAYS) | F.col("may") | (F.col("sim") >= reach)).drop("r")), vectors, threshold, None, WAYS + LIST)
         else:
@@ -200,7 +203,7 @@ def refined(lists: DataFrame, vectors: DataFrame, threshold: float, ways: DataFr
         longer = sized.where((F.col("good") == F.col("n")) & (F.col("n") >= known) & (known < LONGEST)).select("src", (known * 2).alias("k"))
         longer = saved(longer)
         changed, full, lists = new.select("src").distinct().count(), longer.count(), after
-        if changed <= SETTLED * held.count() and not full:
+        if turn >= EXPLORED - 1 and changed <= SETTLED * held.count() and not full:
             break
         if full:
             rest = longer if lengths is None else lengths.join(longer, "src", "left_anti").union(longer)

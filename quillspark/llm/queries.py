@@ -28,7 +28,7 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base_labels", fuzzy)), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"), "spans",
     )
 
 

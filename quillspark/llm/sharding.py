@@ -1,7 +1,7 @@
 """Sharding by k-d tree partitioning.
 
-Rows of equal text form a group that stays together (a group heavier than `split_share` of a shard is dealt into
-portions of that weight, or near-equal shards would be impossible). Each group has a point in metadata space: length, source,
+Rows of equal text form a group that stays together (a group heavier than `split_share` of a shard and than FEW of its
+texts is dealt into portions of that weight, or near-equal shards would be impossible). Each group has a point in metadata space: length, source,
 language and a hash of the text. From the root, every node splits along its widest dimension at the weighted median
 of its bytes, level by level, until each leaf is one shard holding its share of the bytes.
 
@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_of
+from .minhash import small
 
 #: Bits of a dimension's value, and of the hash that orders equal values.
 VALUE_BITS, TIE_BITS, BIN_BITS = 12, 48, 12
+#: Copies that no portion parts, however heavy.
+FEW = 4
 
 
 @dataclass
@@ -57,10 +60,13 @@ def points(frame: DataFrame, id_col: str, text_col: str, meta_cols: list[str]) -
 
 
 def _widest(items: DataFrame, dims: list[str]) -> dict[int, str]:
-    """For each node, the dimension with the widest weighted spread (standard deviation over the largest one seen)."""
-    rows = items.groupBy("node").agg(*[F.stddev_pop(d).alias(d) for d in dims]).collect()
-    most = {d: max([r[d] or 0.0 for r in rows] + [1e-9]) for d in dims}
-    return {r["node"]: max(dims, key=lambda d: ((r[d] or 0.0) / most[d], d)) for r in rows}
+    """For each node, the dimension along which its bytes are spread widest: the standard deviation weighted by bytes,
+    all dimensions having the same range. On a tie, the first."""
+    weight = F.sum("weight").cast("double")
+    mean = [(F.sum(F.col("weight") * F.col(d)) / weight).alias(f"m_{d}") for d in dims]
+    square = [(F.sum(F.col("weight").cast("double") * F.col(d) * F.col(d)) / weight).alias(f"s_{d}") for d in dims]
+    rows = items.groupBy("node").agg(*mean, *square).collect()
+    return {r["node"]: max(dims, key=lambda d: (round(r[f"s_{d}"] - r[f"m_{d}"] ** 2, 6), -dims.index(d))) for r in rows}
 
 
 def _lookup(values: dict[int, int | str]) -> Column:
@@ -150,13 +156,14 @@ def kd_tree(items: DataFrame, dims: list[str], shards: int, tolerance: float = 2
 
 def shard(
     frame: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-    meta_cols: tuple[str, ...] = ("source", "lang"), split_share: float = 0.02, bucket_rows: int = 50_000,
+    meta_cols: tuple[str, ...] = ("source", "lang"), split_share: float = 0.05, bucket_rows: int = 50_000,
 ) -> DataFrame:
     """One row per input row: id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
     Sizes (UTF-8 bytes and 8) are near equal over shards. Null and empty texts are one group of size 8. Copies stay
-    together unless they outweigh `split_share` of a shard; their group takes the least metadata among them. Ties go
-    by the group's hash. Repeated rows are rows of their own. An empty table gives no rows.
+    together unless they outweigh `split_share` of a shard and are more than FEW; their group takes the least metadata
+    among them. Ties go by the group's hash. Repeated rows are rows of their own. An empty table gives no rows. A text
+    longer than a shard makes its shard that much larger. Only the columns named are read.
     """
     kind = dict(frame.dtypes)[id_col]
     dims = [f"d{i}" for i in range(len(meta_cols) + 1)]
@@ -167,12 +174,12 @@ def shard(
     groups = (
         rows.groupBy("group")
         .agg(F.sum("size").alias("group_weight"), F.max("size").alias("largest"), *[F.min(d).alias(d) for d in dims])
-        .withColumn("portions", F.greatest(F.lit(1), F.ceil(F.col("group_weight") / F.greatest(F.lit(portion), F.col("largest")))))
+        .withColumn("portions", F.greatest(F.lit(1), F.ceil(F.col("group_weight") / F.greatest(F.lit(portion), F.col("largest") * FEW))))
         .withColumn("portions", F.least("portions", F.lit(1 << 12)).cast("int"))
     )
     heavy = groups.where("portions > 1").select("group", "portions")
-    # heavy groups: at most shards / split_share of them can outweigh a portion, so their table is small
-    dealt = rows.join(F.broadcast(heavy), "group", "left").withColumn(
+    # at most shards / split_share groups can outweigh a portion; their number is checked all the same
+    dealt = rows.join(small(saved(heavy)), "group", "left").withColumn(
         "part", F.when(F.col("portions") > 1, F.pmod(F.xxhash64("id", "size"), F.col("portions"))).otherwise(0).cast("int")
     )
     items = dealt.groupBy("group", "part").agg(F.sum("size").alias("weight"), *[F.min(d).alias(d) for d in dims])

@@ -94,6 +94,7 @@ def section_tokens(
 
     `sections_col` names an array<struct<start:long,end:long>> (sorted, apart); without it, sections are the lines
     that are not empty, in fields of at most 1000 characters. Null and empty texts have no tokens and no sections. The parts always add up to n_tokens.
+    Repeated rows give repeated results; an empty table gives no rows. Only the columns named are read.
     """
     kind = dict(frame.dtypes)[id_col]
 

@@ -161,16 +161,20 @@ def _folded(marks: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
 def fit_svm(positive: list[bytes], negative: list[bytes], seed: int = 5) -> tuple[np.ndarray, float]:
     """Folded triple weights and bias of the squared-hinge SVM on the Nystroem map.
 
-    A positive fragment is seen through its first window, a negative one through all of them.
+    A long fragment has several windows. All windows of a negative fragment are negative; a positive one is a bag of
+    which at least one is positive: it is seen through the window that the model so far scores highest, in a few rounds
+    until the choice stays (the first round takes the mean of the bag).
     """
 
     def windows(words):
         cut = (_windows(letters(w.decode("utf-8", "replace"))) for w in words if len(w) >= 2)
-        return [[x for x in some if len(x) >= 4] for some in cut]
+        return [kept for some in cut if (kept := [x for x in some if len(x) >= 4])]
 
-    known = {tuple(some[0]): some[0] for some in windows(positive) if some}
-    ones = list(known.values())
-    others = list({tuple(x): x for some in windows(negative) for x in some if tuple(x) not in known}.values())
+    bags = list({tuple(map(tuple, bag)): bag for bag in windows(positive)}.values())
+    ones = [x for bag in bags for x in bag]
+    owner = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+    own = {tuple(x) for x in ones}
+    others = list({tuple(x): x for some in windows(negative) for x in some if tuple(x) not in own}.values())
     rng = np.random.RandomState(seed)
     half = LANDMARKS // 2
     marks = [ones[i] for i in sorted(rng.permutation(len(ones))[:half])]
@@ -180,17 +184,33 @@ def fit_svm(positive: list[bytes], negative: list[bytes], seed: int = 5) -> tupl
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    x = kernel(ones + others, marks).astype(float) @ whiten
+    inside, outside = kernel(ones, marks).astype(float) @ whiten, kernel(others, marks).astype(float) @ whiten
+    share = np.bincount(owner)
+    seen = np.stack([np.bincount(owner, inside[:, c] / share[owner], len(bags)) for c in range(inside.shape[1])], axis=1)
+    chosen = None
+    for _ in range(4):
+        v, bias = _squared_hinge(seen, outside)
+        value = inside @ v
+        best = np.lexsort((-value, owner))[np.cumsum(share) - share]
+        if chosen is not None and (best == chosen).all():
+            break
+        chosen, seen = best, inside[best]
+    return _folded(marks, whiten @ v), float(bias)
+
+
+def _squared_hinge(ones: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient descent, both classes weighing the same."""
+    x = np.concatenate([ones, others])
     y = np.concatenate([np.ones(len(ones)), -np.ones(len(others))])
     cost = np.where(y > 0, 0.5 / len(ones), 0.5 / len(others))
     v, bias, mv, mb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
     rate = 1.0 / max(1e-9, np.linalg.eigvalsh(x.T @ (x * (2 * cost)[:, None])).max() + 2.0)
-    for step in range(600):  # accelerated gradient
+    for step in range(600):
         gap = np.maximum(0, 1 - y * (x @ v + bias)) * cost * y * 2
         nv, nb = v + rate * (x.T @ gap - 1e-5 * v), bias + rate * gap.sum()
         pull = step / (step + 3)
         v, bias, mv, mb = nv + pull * (nv - mv), nb + pull * (nb - mb), nv, nb
-    return _folded(marks, whiten @ v), float(bias)
+    return v, bias
 
 
 class Scorer:
@@ -245,7 +265,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """A model from labelled documents (null labels are left out); about SAMPLE of them at most.
 
-    Near copies count once: of documents whose smallest shingle is the same, one is taken. Without both labels, or
+    Near copies count once: of documents whose smallest shingle is the same, that with the smallest id is taken. Without both labels, or
     without any significant fragment, the model gives every document the share of toxic ones in the sample.
     """
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
@@ -256,7 +276,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def least(texts: pd.Series) -> pd.Series:
         return pd.Series([int(h[0].astype(np.int64)) if len(h := shingles(t)) else 0 for t in texts], dtype="int64")
 
-    sample = sample.withColumn("least", least("text")).dropDuplicates(["least"]).select("text", "y").cache()
+    once = sample.withColumn("least", least("text")).groupBy("least").agg(F.min(F.struct("id", "text", "y")).alias("first"))
+    sample = once.select("first.text", "first.y").cache()
 
     @F.pandas_udf(T.ArrayType(T.BinaryType()))
     def distinct_fragments(texts: pd.Series) -> pd.Series:
@@ -328,7 +349,8 @@ def _features_udf(table: np.ndarray, bias: float):
 
 def score(frame: DataFrame, model: dict, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """`frame` with the column `out_col` (0 to 1; higher: likelier toxic). Null and empty texts score as a text
-    without fragments. All rows and columns stay; `out_col` replaces a column of that name."""
+    without fragments. All rows and columns stay, repeated rows too; `out_col` replaces a column of that name. Texts are
+    scored whole, in time proportional to their length. An empty table gives no rows."""
     if model["table"] is None:
         return frame.withColumn(out_col, F.lit(float(model["rate"])))
     table, bias, weights = model["table"], model["bias"], model["weights"]

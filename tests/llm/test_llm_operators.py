@@ -255,7 +255,8 @@ def test_descent_finds_what_the_start_graph_misses(spark, monkeypatch):
     """One table alone, without the audit's repair: buckets cut the pairs apart, neighbours' neighbours join them."""
     monkeypatch.setattr(neighbours, "audit", lambda reps, *_: reps.sparkSession.createDataFrame([], "a long, b long"))
     monkeypatch.setattr(neighbours, "TABLES", 1)
-    monkeypatch.setattr(neighbours, "BUCKET", 16)
+    for name, value in {"BUCKET": 16, "WAYS": 8, "EXPLORED": 4, "ROUNDS": 7}.items():
+        monkeypatch.setattr(neighbours, name, value)
     rng = np.random.RandomState(8)
     x = np.concatenate([c + 0.09 * rng.standard_normal((7, 16)) * np.linalg.norm(c) / 4 for c in rng.standard_normal((40, 16))])
     x = x.astype(np.float32)
@@ -266,9 +267,9 @@ def test_descent_finds_what_the_start_graph_misses(spark, monkeypatch):
     vectors = neighbours.coded(reps).withColumn("part", F.col("rep"))
     start = {(min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in neighbours.start_graph(vectors, 0.98).where("may").collect()}
     true = {(int(i), int(j)) for i, j in zip(*np.nonzero(link)) if i < j}
-    assert len(true - start) > 0.1 * len(true) and true - start
-    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(frame)[0].collect()}
-    assert sum(got[i] == n for i, n in enumerate(link.sum(axis=1))) >= 0.95 * len(x)
+    assert len(start) < 0.85 * len(true)
+    found = sum(r["n_links"] for r in neighbours.near_duplicates(frame)[0].collect()) // 2
+    assert 0.97 * len(true) <= found <= len(true)
 
 
 def test_repeated_vector_ids_are_rows_of_their_own(spark):
