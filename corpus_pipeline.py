@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import decontam, langid, minhash, packing, toxicity
 from quillspark.llm.common import crc_bucket, saved
 
-#: Texts of which no language holds this share of the words are rejected.
-LEAST_LANGUAGE = 0.4
+#: Texts whose words are placed in a learned language with less than this probability, on average, are rejected.
+LEAST_SURE = 0.5
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -33,16 +33,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of no language: no letter (null and empty texts too), or no language that holds enough words.
+    """Without documents of no language: no letter (null and empty texts too), or words that the model cannot place.
 
-    When no document has a language to learn from, nothing can be judged and all stay.
+    A document of clear words stays, however many languages it mixes. When no document has a language to learn from, nothing can be judged and all stay.
     """
     model = langid.train(docs.where(crc_bucket("doc_id", 3) != 1))
     if not model["langs"]:
         return docs
-    lang, share = _fresh(docs, "lang_pred"), _fresh(docs, "lang_score")
-    tagged = langid.predict(docs, model, lang_out=lang, score_out=share)
-    return tagged.where((F.col(lang) != "und") & (F.col(share) >= LEAST_LANGUAGE)).select(docs.columns)
+    lang, share, sure = (_fresh(docs, name) for name in ("lang_pred", "lang_score", "lang_sure"))
+    tagged = langid.predict(docs, model, lang_out=lang, score_out=share, sure_out=sure)
+    return tagged.where((F.col(lang) != "und") & (F.col(sure) >= LEAST_SURE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
