@@ -60,7 +60,7 @@ def document_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("NUM3_claims")
 def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NUM3 NUM4: quantity claims in documents, noise removed, with scale words and percent signs."""
+    """NUM3: quantity claims in documents, noise removed, with scale words and percent signs."""
     return N.claims(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
@@ -70,13 +70,53 @@ def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c.g AS grp, CAST(claim AS DOUBLE) AS claim, CAST(a.v AS DOUBLE) AS a, CAST(b.v AS DOUBLE) AS b FROM c JOIN o a ON a.g = c.g JOIN o b ON b.g = c.g AND b.v = a.v - claim""",
 )
 def derived_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN11 NUM5: claims that are the exact difference of two figures of the same order."""
+    """JN11: claims that are the exact difference of two figures of the same order."""
     operands = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_quantity").cast("decimal(20,6)").alias("value")).distinct()
     claimed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("grp"), (F.col("o_orderkey") % 7 + 1).cast("decimal(20,6)").alias("claim"))
     found = N.differences(claimed, operands, "grp")
     return found.select("grp", *[F.col(c).cast("double").alias(c) for c in ("claim", "a", "b")])
 
 
+# Per order: its quantities as the source's text, and an answer that claims their range, a share, and at times a figure that is
+# nowhere.
+_LINES = "SELECT l_orderkey AS k, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1"
+
+
+@query(
+    "NUM5_number_check",
+    f"""WITH l AS ({_LINES}), o AS (SELECT o_orderkey, lo, hi FROM orders JOIN l ON k = o_orderkey)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'na' WHEN o_orderkey % 4 = 0 OR lo = hi THEN 'fail' ELSE 'pass' END AS status,
+CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 4 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_claims FROM o""",
+)
+def number_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NUM4 NUM5: answers about orders checked against their lines: printed, derived and missing figures."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("decimal(10,1)").alias("q"))
+    sources = lines.select("o_orderkey", F.concat(F.lit("Line of quantity "), F.col("q").cast("string")).alias("text"))
+    range_ = lines.groupBy("o_orderkey").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+    share = F.round(F.col("lo") * 100 / F.col("hi"), 1).cast("decimal(10,1)").cast("string")
+    claim = F.concat(
+        F.lit("In FY 25 and by 31 March 2025 [S1], the range was "), (F.col("hi") - F.col("lo")).cast("string"), F.lit("; the least is "), share,
+        F.lit(" per cent of the most"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(", up "), (F.col("o_orderkey") % 60).cast("string"), F.lit(".57 lakh"))).otherwise(""), F.lit("."),
+    )
+    text = F.when(F.col("o_orderkey") % 5 == 0, "1. In 2024-25 no figure of Q3 was given.").otherwise(claim)
+    asked = table(spark, sf_dir, "orders").select("o_orderkey").join(range_, "o_orderkey").select("o_orderkey", text.alias("text"))
+    return N.number_check(asked, sources, "o_orderkey").select("o_orderkey", "status", "n_claims")
+
+
+@query(
+    "NUM7_numeric_match",
+    "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey % 3 <> 0 END AS matches FROM part",
+)
+def numeric_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NUM7: gold figures found in answers, in another scale word or with further figures beside them."""
+    key = F.col("p_partkey")
+    gold = F.when(key % 5 == 0, "not stated in 2024").otherwise(F.concat(key.cast("string"), F.lit(".5 crore")))
+    said = F.when(key % 3 == 0, F.concat(key.cast("string"), F.lit(".7 crore"))).when(key % 3 == 1, F.concat((key * 100 + 50).cast("string"), F.lit(" lakh and 77 more")))
+    said = said.otherwise(F.concat(F.lit("about "), key.cast("string"), F.lit(".5")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", gold.alias("gold"), said.alias("said"))
+    return N.numeric_match(rows.select("p_partkey", F.col("gold").alias("text")), rows.select("p_partkey", F.col("said").alias("text")), "p_partkey")
+
+
 @query(
     "JN12_claims_in_pool",
     "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = o_orderkey % 50) AS printed FROM orders",

@@ -88,6 +88,27 @@ def test_figures(spark):
     assert got == {("5.5", 0, True), ("1.25E+3", 7, False)}
 
 
+def test_what_is_no_quantity(spark):
+    none = ["[S1]", "2024-25", "FY2024/25", "31 March 2025", "31st Dec., 2024", "March 31, 2025", "1. item", "FY 25", "FY25-26", "Q 3", "H1 FY26", "3 segments", "3rd", "in 2024", "A4", "2x"]
+    some = {"We sold 12 markets 2025 units": "12", "a decline 12, 2024 figure": "12", "12 marks in all": "12", "rose 5 percent": "5", "7 lakh": "7", "Note 12.5": "12.5", "2024 crore": "2024"}
+    rows = spark.createDataFrame([(t, t) for t in [*none, *some]], "id string, t string")
+    got = {r["id"]: str(r["mantissa"].normalize() + 0) for r in figures.claims(rows, "id", "t").collect()}
+    assert {k: float(v) for k, v in got.items()} == {k: float(v) for k, v in some.items()}
+
+
+def test_number_check(spark):
+    source = "Revenue 1,097.36 and 615.30 crore; profit 120, cost 80, margin 12.5%"
+    cases = {
+        "Revenue was 1,097.36": "pass", "Up by 482.06": "pass", "A share of 56.1%": "pass", "It grew 50%": "pass", "It fell 33.3 per cent": "pass",
+        "Up by 482.07": "fail", "A share of 56.2%": "fail", "Nothing in FY25": "na", "6,153,000,000": "pass", "A rise of 33.3": "fail", "12.5 and 99": "fail",
+    }
+    asked = spark.createDataFrame([(k, k) for k in cases], "id string, text string")
+    sources = asked.select("id", F.lit(source).alias("text"))
+    assert {r["id"]: r["status"] for r in figures.number_check(asked, sources, "id").collect()} == cases
+    many = asked.select("id", F.concat_ws(" ", F.sequence(F.lit(1000), F.lit(1800))).alias("text"))
+    assert {r["status"] for r in figures.number_check(asked, many, "id").collect()} == {"fail", "na"}
+
+
 def test_periods(spark):
     names = column(spark, catalog.period, "Q1 FY2026 report", "annual FY 2024-25", "h2 fy26", "2024-25", "none")
     assert names == ["Q1 FY26", "FY25", "H2 FY26", None, None]
