@@ -50,3 +50,8 @@ def primary_citation(cited: DataFrame, query_col: str, terms_col: str, pos_col:
     return cited.groupBy(query_col).agg(F.max(F.struct(F.size(terms_col).alias("n"), (-F.col(pos_col)).alias("first"))).alias("best")).select(
         query_col, (-F.col("best.first")).alias("primary"), F.col("best.n").alias("n_terms")
     )
+
+
+def first_reason(gates: list[tuple[str, Column]]) -> Column:
+    """The name of the first gate that holds, null where none does; a gate that is null does not hold."""
+    return F.coalesce(*[F.when(holds, F.lit(name)) for name, holds in gates])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import saved
+
 from .metrics import ratio
 
 ROUTES = ("DOCUMENT", "GENERAL", "MIXED")
@@ -36,17 +38,28 @@ def agreement(frame: DataFrame, a: str, b: str) -> DataFrame:
 
 def best_threshold(frame: DataFrame, score_col: str, positive_col: str) -> DataFrame:
     """tau and accuracy of the best rule `score >= tau` over midpoints of neighbouring distinct scores (and below and
-    above all); the smallest of equally good ones. Running counts over distinct scores, no pairs."""
+    above all); the smallest of equally good ones.
+
+    Distinct scores are dealt by range; running counts stay inside a range, and only sums per range meet.
+    """
     by_score = frame.groupBy(F.col(score_col).alias("score")).agg(
         F.count_if(F.col(positive_col)).alias("pos"), F.count_if(~F.col(positive_col)).alias("neg")
     )
-    order = Window.orderBy("score")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = by_score.select(
-        "score", F.lag("score").over(order).alias("lower"), F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("right_below"),
-        F.sum("pos").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("right_above"), F.sum(F.col("pos") + F.col("neg")).over(Window.partitionBy()).alias("n"),
+    dealt = saved(by_score.repartitionByRange("score").withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("score").alias("top"))
+    ranges = Window.orderBy("range")  # one row a range
+    upto = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(
+        "range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("neg_before"), F.coalesce(F.sum("p").over(upto), F.lit(0)).alias("pos_before"),
+        F.lag("top").over(ranges).alias("top_before"), F.sum("p").over(Window.partitionBy()).alias("all_pos"), F.sum(F.col("p") + F.col("n")).over(Window.partitionBy()).alias("all"),
     )
-    rules = marked.select(F.coalesce((F.col("score") + F.col("lower")) / 2, F.col("score")).alias("tau"), ((F.col("right_below") + F.col("right_above")) / F.col("n")).alias("accuracy"))
+    order = Window.partitionBy("range").orderBy("score")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    marked = dealt.withColumns({"lower": F.lag("score").over(order), "n": F.coalesce(F.sum("neg").over(before), F.lit(0)), "p": F.coalesce(F.sum("pos").over(before), F.lit(0))})
+    marked = marked.join(F.broadcast(bases), "range")  # as many rows as partitions
+    lower = F.coalesce("lower", "top_before")
+    right = F.col("neg_before") + F.col("n") + F.col("all_pos") - F.col("pos_before") - F.col("p")
+    rules = marked.select(F.coalesce((F.col("score") + lower) / 2, F.col("score")).alias("tau"), (right / F.col("all")).alias("accuracy"))
     return rules.agg(F.max(F.struct("accuracy", (-F.col("tau")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("tau"), F.col("best.accuracy").alias("accuracy"))
 
 

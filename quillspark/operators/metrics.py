@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import saved
+
 # Amber and red limits, and whether a lower value is worse.
 THRESHOLDS = {
     "latency_p95_ms": (4000.0, 6000.0, False), "error_rate": (0.02, 0.05, False), "abstention_rate": (0.40, 0.70, False),
@@ -17,15 +19,39 @@ SEVERITY = ("answered", "abstained", "needs_company", "unclear", "not_ready", "e
 PRICES = {"120b": (0.15, 0.60), "20b": (0.075, 0.30), "default": (0.15, 0.60)}
 
 
-def summary(value: Column) -> list[Column]:
-    """n, p50, p95, p99 (linear interpolation) and mean of the values that are not null."""
-    return [F.count(value).alias("n"), *[F.percentile(value, p / 100).alias(f"p{p}") for p in (50, 95, 99)], F.avg(value).alias("mean")]
-
+def value_ranks(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, c, before, n): each distinct value of a group, how often it occurs, how many rows of the group lie
+    below it, and the group's rows. Nulls are left out.
 
-def nearest_rank(value: Column, share: float) -> Column:
-    """Percentile as the value at rank round-half-even(share * (n - 1)), from 0."""
-    values = F.array_sort(F.collect_list(value))
-    return F.get(values, F.bround((F.size(values) - 1) * F.lit(share)).cast("int"))
+    Values are dealt by range, so a group of any size is spread over tasks; only sums per range meet.
+    """
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    dealt = saved(counts.repartitionByRange(*keys, value).withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "range").agg(F.sum("c").alias("sum"))
+    group = Window.partitionBy(*keys)
+    bases = sums.select(
+        *keys, "range", (F.sum("sum").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("base"), F.sum("sum").over(group).alias("n")
+    )
+    inside = F.sum("c").over(Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    return dealt.withColumn("inside", inside).join(bases, [*keys, "range"]).select(*keys, value, "c", (F.col("inside") + F.col("base")).alias("before"), "n")
+
+
+def summary(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per group n, p50, p95, p99 (linear interpolation, exact) and mean of the values that are not null."""
+    ranks = value_ranks(frame, keys, value)
+    out = [F.max("n").alias("n")]
+    for p in (50, 95, 99):
+        at = (F.col("n") - 1) * F.lit(p / 100)
+        low, high = (F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("c")), F.col(value))) for r in (F.floor(at), F.ceil(at)))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"p{p}"))
+    means = frame.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("mean"))
+    return ranks.groupBy(*keys).agg(*out).join(means, keys)
+
+
+def nearest_rank(frame: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """(keys, value): the value at rank round-half-even(share * (n - 1)), from 0, of each group."""
+    rank = F.bround((F.col("n") - 1) * F.lit(share))
+    return value_ranks(frame, keys, value).where((F.col("before") <= rank) & (rank < F.col("before") + F.col("c"))).select(*keys, value)
 
 
 def ratio(hit: Column, pool: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms, table_key, token_estimate
+from ..tables import saved
 
 K1, B, RRF_K, POOL, LEXICAL_WEIGHT = 1.5, 0.75, 60, 50, 20.0
 #: Rows of a side that may be broadcast.
@@ -32,22 +35,23 @@ def bm25(
     """(query, chunk, score) of every chunk that shares a term with a query; a term counts once per query.
 
     The corpus statistics are those of all chunks even under a `scope` (a table of allowed chunk ids), which only
-    filters postings. Postings are counted for query terms alone: the terms are joined before aggregation.
+    filters postings. Texts are cut into terms once: the counts of the asked terms, and each chunk's length as the count
+    of an empty term, are written, and the statistics come from there.
     """
-    asked = queries.select(F.col(query_col), F.explode(F.array_distinct(search_terms(F.col(query_text_col)))).alias("term"))
-    wanted = small(asked.select("term").distinct())
-    tokens = chunks.select(F.col(id_col), search_terms(F.col(text_col)).alias("terms")).withColumn("len", F.size("terms"))
-    corpus = tokens.agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
-    postings = (
-        tokens.select(id_col, "len", F.explode("terms").alias("term")).join(wanted, "term").groupBy("term", id_col, "len").agg(F.count("*").alias("tf"))
-    )
+    asked = saved(queries.select(F.col(query_col), F.explode(F.array_distinct(search_terms(F.col(query_text_col)))).alias("term")))
+    wanted = small(asked.select("term").distinct().union(chunks.sparkSession.range(1).select(F.lit(""))))
+    tokens = chunks.select(F.col(id_col), search_terms(F.col(text_col)).alias("terms"))
+    each = tokens.select(id_col, F.size("terms").alias("len"), F.explode(F.array_append(F.coalesce("terms", F.array().cast("array<string>")), F.lit(""))).alias("term"))
+    counted = saved(each.join(wanted, "term", "left_semi").groupBy("term", id_col, "len").agg(F.count("*").alias("tf")))
+    corpus = counted.where("term = ''").agg(F.sum("tf").alias("n_chunks"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    postings = counted.where("term <> ''")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     if scope is not None:
         postings = postings.join(scope.select(id_col), id_col, "left_semi")
-    weighted = asked.join(small(frequency.crossJoin(corpus)), "term")  # corpus is one row
+    weighted = asked.join(frequency.crossJoin(corpus), "term")  # corpus is one row
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    matched = postings.join(weighted, "term")
+    matched = postings.join(small(weighted), "term")
     return matched.groupBy(query_col, id_col).agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
@@ -70,14 +74,39 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_top(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id"
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id",
+    query_block: int = 2048, vector_block: int = 16384,
 ) -> DataFrame:
-    """The k nearest vectors of each query, exactly. Queries (query, query_vec) are a stated, bounded set.
+    """The k nearest vectors of each query (query, query_vec), exactly: score (cosine, six places) and rank.
 
-    Every vector meets the broadcast queries; the window keeps k rows per query in each task before the shuffle.
+    Blocks of queries meet blocks of vectors in a matrix product each, which gives its k best rows a query (with those
+    that rounding may tie); one merge ranks them. Null vectors are left out; a zero norm counts as 1.
     """
-    met = vectors.select(id_col, vec_col).join(F.broadcast(queries), F.lit(True))
-    scored = met.select(query_col, id_col, F.round(cosine(F.col("query_vec"), F.col(vec_col)), 6).alias("score"))
+    asked, held = saved(queries.where("query_vec is not null")), vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    rows, across = max(1, -(-asked.count() // query_block)), max(1, -(-held.count() // vector_block))
+    left = asked.select(F.col(query_col).alias("q"), "query_vec", F.pmod(F.xxhash64(query_col), F.lit(rows)).alias("i"))
+    left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(across - 1)).cast("array<bigint>")))
+    right = held.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<bigint>")))
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.stack([np.asarray(v, float) for v in column])
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return x / np.where(norm == 0, 1.0, norm)
+
+    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"q": one["q"].iloc[:0], "id": two["id"].iloc[:0], "sim": np.empty(0)})
+        x, y, out = unit(one["query_vec"]), unit(two["vec"]), []
+        for at in range(0, len(x), 256):
+            s = x[at : at + 256] @ y.T
+            least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+            i, j = np.nonzero(s >= least[:, None] - 2e-6)
+            out.append(pd.DataFrame({"q": one["q"].values[at + i], "id": two["id"].values[j], "sim": s[i, j]}))
+        return pd.concat(out)
+
+    kinds = dict(vectors.dtypes)[id_col], dict(queries.dtypes)[query_col]
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"q {kinds[1]}, id {kinds[0]}, sim double")
+    scored = met.select(F.col("q").alias(query_col), F.col("id").alias(id_col), F.round("sim", 6).alias("score"))
     return ranked(scored, query_col, id_col, k)
 
 

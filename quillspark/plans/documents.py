@@ -9,6 +9,7 @@ from ..functions.text import collapsed, search_terms
 from ..operators import answers as A
 from ..operators import chunking as K
 from ..session import table
+from ..tables import shared_dir
 from ..streaming import ingest as I
 from .registry import query
 
@@ -123,11 +124,9 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("STM1_streamed_chunks")
 def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM1 STM2 STM3 SNK1: all documents ingested as a stream, and the chunks that the target then holds."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    root = f"{base}/ingest-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     I.ingest(spark, f"{sf_dir}/documents.parquet", f"{root}/chunks", f"{root}/progress").awaitTermination()
     return I.current_chunks(spark, f"{root}/chunks")
 

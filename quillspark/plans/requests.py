@@ -49,7 +49,7 @@ _SUMMARY = "count({0}) AS n, round(quantile_cont({0}, 0.5), 6) AS p50, round(qua
 @query("AGG6_latency_summary", f"WITH {_LOG} SELECT route, {_SUMMARY.format('t_total_ms')} FROM r GROUP BY route")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG4 AGG6: latency summary by route."""
-    return _rounded(request_log(spark, sf_dir).groupBy("route").agg(*M.summary(F.col("t_total_ms"))))
+    return _rounded(M.summary(request_log(spark, sf_dir), ["route"], "t_total_ms"))
 
 
 @query(
@@ -61,7 +61,7 @@ def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG27: latency by stage; stages that did not run are left out."""
     log = request_log(spark, sf_dir).select(F.col("t_router_ms").alias("router"), F.col("t_total_ms").alias("total"))
     stages = log.unpivot([], ["router", "total"], "stage", "ms").where("ms > 0")
-    return _rounded(stages.groupBy("stage").agg(*M.summary(F.col("ms"))))
+    return _rounded(M.summary(stages, ["stage"], "ms"))
 
 
 @query(
@@ -70,14 +70,8 @@ def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, v[CAST(round_even((len(v) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95 FROM s""",
 )
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG5: percentile by nearest rank, over daily medians' scale: one list per event type and day keeps lists bounded."""
-    events = table(spark, sf_dir, "events").select("event_type", "value")
-    from pyspark.sql import Window
-
-    # the rank is found by counting, so no list of a whole group is built
-    order = Window.partitionBy("event_type").orderBy("value")
-    sized = events.withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("event_type")))
-    return sized.where(F.col("at") == F.bround((F.col("n") - 1) * F.lit(0.95))).select("event_type", F.col("value").alias("p95"))
+    """AGG5: percentile by nearest rank, found by counting: no list of a group is built."""
+    return M.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value", 0.95).withColumnRenamed("value", "p95")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS, snippet, token_estimate
 from ..operators import retrieval as R
 from ..session import table
+from ..tables import saved
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -77,20 +78,10 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 @query("TOP2_dense_search", f"WITH {DENSE_SQL} SELECT query_id, vec_id, score, CAST(rank AS BIGINT) AS rank FROM dense")
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP2 NUM9: the 8 nearest vectors of every vector whose id is divisible by 20, exactly.
-
-    The asking vectors are a twentieth of the table: they meet all rows in blocks that the broadcast bound allows.
-    """
+    """TOP2 NUM9: the 8 nearest vectors of every vector whose id is divisible by 20, exactly."""
     vectors = table(spark, sf_dir, "embeddings")
     asking = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    blocks = max(1, -(-asking.count() // 5000))
-    parts = [
-        R.dense_top(vectors, asking.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part), 8) for part in range(blocks)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return R.dense_top(vectors, asking, 8).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # Documents stand for each other by length: a second ranked list over the same ids, to fuse with keyword search.
@@ -106,7 +97,7 @@ fused AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id
 def fused_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    lex = lexical(spark, sf_dir)
+    lex = saved(lexical(spark, sf_dir))  # used twice
     sizes = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     by_length = lex.select("item_id", "doc_id").join(sizes, "doc_id").withColumn(
         "rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n_chars", "doc_id"))
@@ -190,12 +181,24 @@ gold AS (SELECT b.item_id, d.doc_id, d.lang FROM benchmark b JOIN documents d ON
 
 
 def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's first 60 characters. Items are few (their number is checked), documents many."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("head"))
-    if items.count() > 100_000:
-        raise ValueError("too many items for a scan of all documents")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return docs.join(F.broadcast(items), F.contains("text", F.col("head"))).select("item_id", "doc_id", "lang")
+    """Documents that hold an item's first 60 characters, which define what is gold.
+
+    Candidates come from an equi-join: where a text holds such a head, it holds the head's second to fourth parts between
+    blanks. Heads of fewer parts are rare, and each text is searched for them.
+    """
+    heads = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.left("text", F.lit(60)).alias("head")).withColumn("parts", F.split("head", " "))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "text")
+    whole = heads.where(F.size("parts") >= 5).select("item_id", "head", F.xxhash64(*[F.get("parts", F.lit(i)) for i in (1, 2, 3)]).alias("key"))
+    cut = docs.withColumn("parts", F.split("text", " "))
+    at = F.sequence(F.lit(0), F.greatest(F.size("parts") - 3, F.lit(0)))
+    keys = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.get("parts", i), F.get("parts", i + 1), F.get("parts", i + 2))))
+    found = cut.select("doc_id", "lang", F.explode(keys).alias("key")).join(R.small(whole.select("item_id", "key")), "key").select("doc_id", "item_id").distinct()
+    checked = docs.join(R.small(found), "doc_id").join(R.small(whole.select("item_id", "head")), "item_id").where(F.contains("text", F.col("head")))
+    short = saved(heads.where(F.size("parts") < 5).select("item_id", "head"))
+    out = checked.select("item_id", "doc_id", "lang")
+    if short.isEmpty():
+        return out
+    return out.union(docs.join(short, F.contains("text", F.col("head"))).select("item_id", "doc_id", "lang"))
 
 
 @query(
