@@ -16,6 +16,20 @@ def period(text: Column) -> Column:
     return F.when(year != "", F.trim(F.concat(part, F.lit(" FY"), year)))
 
 
+# Spelt quarters.
+QUARTERS = {"first": "Q1", "second": "Q2", "third": "Q3", "fourth": "Q4"}
+
+
+def periods(text: Column) -> Column:
+    """All fiscal periods of a text, in order, each once: Q1 FY26, H1 FY26, FY26. Spelt quarters count as written ones."""
+    for word, quarter in QUARTERS.items():
+        text = F.regexp_replace(text, rf"(?i)\b{word}\s+quarter(\s+of)?\b", quarter)
+    whole, part, number, start, end = (F.regexp_extract_all(text, F.lit(PERIOD), F.lit(g)) for g in range(5))
+    found = F.arrays_zip(whole.alias("w"), part.alias("p"), number.alias("n"), start.alias("s"), end.alias("e"))
+    named = F.transform(found, lambda x: F.trim(F.concat(F.upper(x["p"]), x["n"], F.lit(" FY"), F.when(x["e"] != "", x["e"]).otherwise(x["s"]))))
+    return F.array_distinct(named)
+
+
 def fiscal_year(name: Column) -> Column:
     """The FY part of a period, null without one."""
     return F.nullif(F.regexp_extract(name, r"FY\d{2}", 0), F.lit(""))

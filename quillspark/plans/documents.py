@@ -66,20 +66,34 @@ def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") < 120) & (F.col("doc_id") % 10 / 10.0 >= 0.6)).alias("scanned"))
 
 
-_DOC, _GEN = "|".join(A.DOCUMENT_WORDS), "|".join(A.GENERAL_WORDS)
+# Questions by the remainder of an event's id, and where they belong.
+_QUESTIONS = [
+    ("What revenue did the report show?", "DOCUMENT"), ("What is revenue?", "GENERAL"), ("Explain inflation in simple words", "GENERAL"),
+    ("Total income and employees by segment", "DOCUMENT"), ("Who wrote Hamlet?", "GENERAL"), ("What was the margin in FY 25, and who invented the telephone?", "MIXED"),
+    ("Define EBITDA; profit of the company", "MIXED"), ("How many plants does Acme have", "DOCUMENT"), ("hello there", "GENERAL"), ("Tell me about Acme on page 12", "DOCUMENT"),
+    ("What are subsidiaries?", "GENERAL"), ("Liabilities and what is a bond", "MIXED"), ("What was 2024 like", "DOCUMENT"),
+]
 
 
 @query(
     "STR12_keyword_router",
-    rf"""WITH t AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'What revenue did the report show?' WHEN 'click' THEN 'Explain the concept' WHEN 'error' THEN 'Explain the profit in the table' ELSE props END AS q FROM events),
-m AS (SELECT event_id, regexp_matches(lower(q), '\b({_DOC})\b') AS d, regexp_matches(lower(q), '\b({_GEN})\b') AS g FROM t)
-SELECT event_id, CASE WHEN d AND g THEN 'MIXED' WHEN g THEN 'GENERAL' ELSE 'DOCUMENT' END AS route FROM m""",
+    "SELECT event_id, CASE event_id % " + str(len(_QUESTIONS)) + "".join(f" WHEN {n} THEN '{r}'" for n, (_, r) in enumerate(_QUESTIONS)) + " END AS route FROM events",
 )
 def keyword_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR12 LLM1: the offline router."""
-    kind = F.col("event_type")
-    question = F.when(kind == "view", "What revenue did the report show?").when(kind == "click", "Explain the concept").when(kind == "error", "Explain the profit in the table").otherwise(F.col("props"))
-    return table(spark, sf_dir, "events").select("event_id", A.route(question).alias("route"))
+    """STR12: the keyword router on a question of thirteen shapes per event."""
+    question = F.get(F.array(*[F.lit(q) for q, _ in _QUESTIONS]), (F.col("event_id") % len(_QUESTIONS)).cast("int"))
+    names = F.array(F.lit("Acme AR FY25.pdf"), F.lit("annual report 2024.pdf"))
+    return table(spark, sf_dir, "events").select("event_id", A.route(question, names).alias("route"))
+
+
+@query(
+    "LLM1_routed_turns",
+    "SELECT lang, count(*) FILTER (text IS NOT NULL AND regexp_matches(lower(text), '(^|[^a-z0-9''])(19|20)[0-9][0-9]([^a-z0-9'']|$)')) AS with_year, count(*) AS n FROM documents GROUP BY lang",
+)
+def routed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LLM1: texts that the offline router would send to documents for a year that they name, by language."""
+    year = F.lower("text").rlike(r"(^|[^a-z0-9'])(19|20)[0-9][0-9]([^a-z0-9']|$)")
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.coalesce(year, F.lit(False))).alias("with_year"), F.count("*").alias("n"))
 
 
 @query(
@@ -88,7 +102,7 @@ def keyword_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, array_to_string(list_filter([cited[1], CASE WHEN cited[2] <> cited[1] THEN cited[2] END], lambda x: x IN ('S1', 'S2', 'S3')), ',') AS valid FROM c""",
 )
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT6 FLT7: cited ids normalised, unknown ones dropped, order kept."""
+    """FLT6: cited ids normalised, unknown ones dropped, order kept."""
     ids = [F.col("event_id") % 4, F.col("event_id") % 3, F.col("event_id") % 4, F.lit(9)]
     cited = F.array(*[F.concat(F.lit("[s"), i.cast("string"), F.lit(" ]")) for i in ids])
     known = F.array(*[F.lit(x) for x in ("S1", "S2", "S3")])

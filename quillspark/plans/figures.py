@@ -144,13 +144,25 @@ def acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.acronym(F.col("p_name")).alias("acronym"))
 
 
+@query(
+    "DAT1_all_periods",
+    """SELECT o_orderkey, 'Q' || quarter(o_orderdate) || ' FY' || right(CAST(year(o_orderdate) AS VARCHAR), 2) || CASE o_orderkey % 3 WHEN 0 THEN ',Q2 FY26' WHEN 1 THEN ',FY25' ELSE '' END AS periods FROM orders""",
+)
+def all_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DAT1: all periods that a text names, spelt quarters and ranges too."""
+    year = F.right(F.year("o_orderdate").cast("string"), F.lit(2))
+    more = F.when(F.col("o_orderkey") % 3 == 0, " against the second quarter of FY 2026, Q2 FY26").when(F.col("o_orderkey") % 3 == 1, " and FY2024-25").otherwise(".")
+    text = F.concat(F.lit("Results of Q"), F.quarter("o_orderdate").cast("string"), F.lit(" FY"), year, more)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(C.periods(text), ",").alias("periods"))
+
+
 @query(
     "DAT2_periods",
     """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'FY' || right(CAST(year(o_orderdate) AS VARCHAR), 2) ELSE 'Q' || quarter(o_orderdate) || ' FY' || right(CAST(year(o_orderdate) AS VARCHAR), 2) END AS period FROM orders)
 SELECT period, regexp_extract(period, 'FY[0-9]{2}') AS fy, count(*) AS n FROM p GROUP BY 1""",
 )
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DAT1 DAT2: fiscal periods read from file names, and their years."""
+    """DAT2: fiscal periods read from file names, and their years."""
     year = F.right(F.year("o_orderdate").cast("string"), F.lit(2))
     name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("report fy 20"), year)).otherwise(F.concat(F.lit("report q"), F.quarter("o_orderdate").cast("string"), F.lit(" FY"), year))
     named = table(spark, sf_dir, "orders").select(C.period(name).alias("period"))

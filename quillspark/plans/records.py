@@ -127,11 +127,13 @@ def latest_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("problem", F.when(F.col("latest").isNull(), "not ready"))
 
 
-@query("JN15_current_records", "SELECT d.doc_id FROM documents d JOIN documents e ON d.doc_id = e.doc_id AND sha256(d.text) = sha256(e.text) WHERE d.doc_id % 2 = 0")
+@query("JN15_current_records", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND (doc_id % 3 <> 0 OR lang IS NULL)")
 def current_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN15: records whose question is unchanged, by id and row hash."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("row_hash"))
-    return rows.where("doc_id % 2 = 0").join(rows, ["doc_id", "row_hash"]).select("doc_id")
+    """JN15: records whose question is unchanged, by id and row hash; in the older version, some texts carry their language."""
+    docs = table(spark, sf_dir, "documents")
+    before = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.coalesce(F.concat(F.lit(" "), "lang"), F.lit("")))).otherwise(F.col("text"))
+    records = docs.select("doc_id", F.sha2(before, 256).alias("row_hash"))
+    return records.join(docs.select("doc_id", F.sha2("text", 256).alias("row_hash")), ["doc_id", "row_hash"]).select("doc_id")
 
 
 @query("AGG9_ingest_speed", """WITH p AS (SELECT source, round(sum(n_chars) / 1000.0 / count(*), 3) AS per_page, sum(n_chars) / 1000.0 AS secs, count(*) AS pages FROM documents GROUP BY source)

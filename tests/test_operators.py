@@ -153,4 +153,4 @@ def test_upsert_leaves_other_columns(spark):
 
 
 def test_routes_and_gates(spark):
-    assert column(spark, answers.route, "Explain the profit table", "Define equity", "hello") == ["MIXED", "GENERAL", "DOCUMENT"]
+    assert column(spark, answers.route, "Profit by segment; define equity", "Define equity", "hello", "Sales in FY26") == ["MIXED", "GENERAL", "GENERAL", "DOCUMENT"]
