@@ -1,40 +1,20 @@
-"""What the operators share: written intermediate tables, fixed tables of bytes, bounded samples."""
+"""What the operators share: fixed tables of bytes, bounded samples; written tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import saved
+
+__all__ = ["WORD_BYTES", "bounded_sample", "crc_bucket", "saved", "text_of"]
+
 #: Bytes to bytes: A-Z lower-cased, every other ASCII byte but digits and a-z to a blank. Bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 
 
-#: The folder of each application that names none, as in tests on one machine.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh temporary one only where spark.checkpoint.dir is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        named = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="spark-")
-    return named.rstrip("/")
-
-
-def saved(frame: DataFrame) -> DataFrame:
-    """Cut lineage: write `frame` to a new table in the shared folder and read that table."""
-    spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def text_of(column: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -84,14 +84,16 @@ def coded(reps: DataFrame) -> DataFrame:
 EDGES = "src long, dst long, sim double, may boolean"
 
 
-def _edges(src=(), dst=(), sim=(), may=()) -> pd.DataFrame:
-    return pd.DataFrame({"src": np.asarray(src, np.int64), "dst": np.asarray(dst, np.int64), "sim": np.asarray(sim, float), "may": np.asarray(may, bool)})
+def _edges(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    """Rows of EDGES from the arrays of `_top`."""
+    kinds = {"src": np.int64, "dst": np.int64, "sim": np.float64, "may": bool}
+    return pd.DataFrame({name: np.concatenate([f[n] for f in found] or [np.empty(0, kind)]).astype(kind) for n, (name, kind) in enumerate(kinds.items())})
 
 
-def _top(ids: np.ndarray, x: np.ndarray, spare: np.ndarray, parts: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
-    """Each row's k nearest rows of other parts, as edges."""
+def _top(ids: np.ndarray, x: np.ndarray, spare: np.ndarray, parts: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """Each row's k nearest rows of other parts: source, target, cosine, whether it may be a link."""
     if len(x) < 2:
-        return _edges()
+        return ids[:0], ids[:0], np.empty(0), np.empty(0, bool)
     s = x @ x.T
     s[parts[:, None] == parts[None, :]] = -3
     k = min(k, len(x) - 1)
@@ -99,7 +101,7 @@ def _top(ids: np.ndarray, x: np.ndarray, spare: np.ndarray, parts: np.ndarray, k
     value = np.take_along_axis(s, near, 1)
     i, j = np.nonzero(value > -2.5)
     to, value = near[i, j], value[i, j]
-    return _edges(ids[i], ids[to], value, value + spare[i] + spare[to] >= threshold)
+    return ids[i], ids[to], value, value + spare[i] + spare[to] >= threshold
 
 
 def start_graph(vectors: DataFrame, threshold: float, seed: int = 0, k: int = LIST) -> DataFrame:
@@ -128,18 +130,26 @@ def start_graph(vectors: DataFrame, threshold: float, seed: int = 0, k: int = LI
     )
     # a bucket is named by a hash of its label, vector size, table and code
     dealt = dealt.select(F.xxhash64("own", "size", "bucket").alias("bucket"), "size", "at", "rep", "part", "code", "step")
+    # a bucket of very many near vectors is dealt in random slices; how large buckets are is counted first
+    large = saved(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    slices = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))
     cells = max(1, math.ceil(vectors.count() * (TABLES + 1) / CELL_ROWS))
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("bucket", F.floor(F.col("at") * 8)), F.lit(cells)))
+    dealt = dealt.join(small(large), "bucket", "left").withColumn("slice", F.pmod(F.xxhash64("rep"), slices)).drop("n")
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("bucket", "slice"), F.lit(cells)))
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
-        out = [_edges()]
-        for _, part in batch.groupby(["size", "bucket"], sort=False):
-            part = part.sort_values(["at", "rep"])
-            for low in range(0, len(part), 256):
-                some = part.iloc[max(0, low - 32) : low + 256]
-                x, spare = _decoded(some["code"], some["step"])
-                out.append(_top(some["rep"].values, x, spare, pd.factorize(some["part"])[0], k, threshold))
-        return pd.concat(out)
+        found = []
+        for _, same in batch.groupby("size", sort=False):
+            same = same.sort_values(["bucket", "slice", "at", "rep"])
+            ids, parts = same["rep"].values, pd.factorize(same["part"])[0]
+            x, spare = _decoded(same["code"], same["step"])
+            group = same.groupby(["bucket", "slice"], sort=False).ngroup().values
+            ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+            for begin, end in zip(np.append(0, ends[:-1]), ends):
+                for low in range(begin, end, 256):
+                    some = slice(max(begin, low - 32), min(end, low + 256))
+                    found.append(_top(ids[some], x[some], spare[some], parts[some], k, threshold))
+        return _edges(found)
 
     return dealt.groupBy("cell").applyInPandas(meet, EDGES)
 
@@ -166,13 +176,13 @@ def descend(ways: DataFrame, vectors: DataFrame, threshold: float, hubs: DataFra
     put = put.withColumn("cell", F.pmod(F.xxhash64("v"), F.lit(cells)))
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
-        out = [_edges()]
+        found = []
         for _, same in batch.groupby("size", sort=False):
             ids, parts = same["u"].values, pd.factorize(same["part"])[0]
             x, spare = _decoded(same["code"], same["step"])
             for rows in same.groupby("v", sort=False).indices.values():
-                out.append(_top(ids[rows], x[rows], spare[rows], parts[rows], emitted, threshold))
-        return pd.concat(out).drop_duplicates(["src", "dst"])
+                found.append(_top(ids[rows], x[rows], spare[rows], parts[rows], emitted, threshold))
+        return _edges(found).drop_duplicates(["src", "dst"])
 
     return put.groupBy("cell").applyInPandas(meet, EDGES)
 
