@@ -338,3 +338,22 @@ def variation_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = own.join(R.small(overall), "event_type").join(totals, "user_id")
     parts = joined.groupBy("user_id").agg(F.sum(F.abs(F.col("n") / F.col("total") - F.col("share"))).alias("d"), F.sum("share").alias("has"))
     return parts.select("user_id", F.round(0.5 * (F.col("d") + 1 - F.col("has")), 6).alias("tvd"))
+
+
+@query(
+    "SRC8_question_file",
+    "SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN 'corrupt' WHEN conv_id % 5 = 0 THEN 'unknown route' WHEN text IS NULL OR trim(text) = '' THEN 'empty' ELSE 'ok' END AS verdict FROM conversations",
+)
+def question_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC8: JSON lines of questions, some torn: parsed with a record of what does not parse, then validated."""
+    rows = table(spark, sf_dir, "conversations")
+    route = F.when(F.col("conv_id") % 5 == 0, "ELSEWHERE").otherwise("DOCUMENT")
+    whole = F.to_json(F.struct(F.col("conv_id").alias("id"), F.col("text").alias("question"), route.alias("route")))
+    lines = rows.select("conv_id", "turn", F.when(F.col("conv_id") % 7 == 0, F.left(whole, F.length(whole) - 3)).otherwise(whole).alias("line"))
+    kept = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "torn"}
+    read = lines.select("conv_id", "turn", F.from_json("line", "id long, question string, route string, torn string", kept).alias("q"))
+    gates = [
+        ("corrupt", F.col("q.torn").isNotNull()), ("unknown route", ~F.col("q.route").isin("DOCUMENT", "GENERAL", "MIXED")),
+        ("empty", F.trim(F.coalesce("q.question", F.lit(""))) == ""),
+    ]
+    return read.select("conv_id", "turn", F.coalesce(A.first_reason(gates), F.lit("ok")).alias("verdict"))
