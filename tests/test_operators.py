@@ -154,3 +154,38 @@ def test_upsert_leaves_other_columns(spark):
 
 def test_routes_and_gates(spark):
     assert column(spark, answers.route, "Profit by segment; define equity", "Define equity", "hello", "Sales in FY26") == ["MIXED", "GENERAL", "GENERAL", "DOCUMENT"]
+
+
+def test_flat_yaml_and_appended_records(spark, tmp_path):
+    from quillspark.sources import files
+
+    (tmp_path / "map.yaml").write_text("# names\nacme: Acme AR.pdf  # latest\n\nbeta: \"B: one #2.pdf\"\ngamma: 'g.pdf'\nnot a pair\n")
+    found = {(r.key, r.filename) for r in files.flat_yaml(spark, str(tmp_path / "map.yaml")).collect()}
+    assert found == {("acme", "Acme AR.pdf"), ("beta", "B: one #2.pdf"), ("gamma", "g.pdf")}
+
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, note string")
+    files.append_records(rows, path)
+    spark.createDataFrame([('{"id": 3, "no',), ("",), ("garbage",)], "value string").write.mode("append").text(path)
+    files.append_records(rows.limit(0), path)
+    assert {tuple(r) for r in files.whole_records(spark, path, "id long, note string").collect()} == {(1, "a"), (2, None)}
+
+
+def test_replies_are_checked(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import answers as A
+
+    routes = spark.createDataFrame([(0, '{"route": "mixed"}'), (1, "[]"), (2, None), (3, 'x {"route": "NO", "confidence": 1} y')], "id int, r string")
+    assert [tuple(r.c) for r in routes.orderBy("id").select(A.checked_route(F.col("r")).alias("c")).collect()] == [
+        ("MIXED", 0.0, None), (None, None, "bad_json"), (None, None, "bad_json"), (None, None, "unknown_route"),
+    ]
+    cases = [
+        (0, "sales of 5", None, "error"), (1, "sales of 5", "none", "bad_json"), (2, "sales of 5", '{"clear": true}', "bad_json"),
+        (3, "sales of 5", '{"clear": false, "question": "x"}', "unclear"), (4, "sales of 5", '{"clear": true, "question": "sales of 6"}', "rejected"),
+        (5, "sales of 5", '{"clear": true, "question": " "}', "rejected"), (6, "sales of 5", '{"clear": true, "question": "the sales of 5"}', "rewritten"),
+    ]
+    rows = spark.createDataFrame([c[:3] for c in cases], "id int, q string, r string").orderBy("id")
+    got = [tuple(r.c) for r in rows.select(A.rewritten(F.col("q"), F.col("r")).alias("c")).collect()]
+    assert [g[0] for g in got] == [c[3] for c in cases]
+    assert got[-1][1] == "the sales of 5" and all(g[1] == "sales of 5" for g in got[:-1])
