@@ -11,7 +11,6 @@ Only (document, start, length) of remainders is shuffled, never ids or texts.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections import Counter
 from functools import lru_cache
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_of
+from .wordparts import LATIN_PARTS, NOT_LATIN, added_tokens, byte_letters, cuts_words, spec_of
 
 WINDOW = 4096
 END_ID = 2
@@ -35,39 +35,24 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    found.no_truncation()
+    found.no_padding()
     return found
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level tokenizers write for each byte: itself if printable, else one from 256 up."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, spare = [""] * 256, 256
-    for b in range(256):
-        letters[b] = chr(b) if b in printable else chr(spare)
-        spare += b not in printable
-    return letters
-
-
-# Fixed value: the pattern by which the word-level tokenizer file cuts lower-cased text.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same over ASCII and Latin letters, and what such a text may hold (else the whole text goes to the tokenizer).
-LATIN = "a-zªµºÀ-ÖØ-öø-ɏ"
-LATIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9²³¹¼½¾]|[^\\s0-9²³¹¼½¾{LATIN}]+")
-NOT_LATIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
-
-
 class WordIds:
     """Ids of whole texts for a lower-casing tokenizer that drops white space and never merges across words.
 
     Such a tokenizer's ids of a text are the ids of the parts that its pattern cuts, in order, so each distinct part
     goes to the tokenizer's model once and is remembered (a bounded number per worker, the older half forgotten
-    first). A text with other letters than Latin ones is encoded whole by the tokenizer.
+    first). A text with other letters than those of LATIN_PARTS, or with an added token, is encoded whole by the
+    tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.letters = dict(enumerate(byte_letters()))
+        self.added = added_tokens(spec_of(path))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -80,7 +65,7 @@ class WordIds:
         return ids
 
     def _ids(self, text: str) -> np.ndarray:
-        if NOT_LATIN.search(text):
+        if NOT_LATIN.search(text) or any(map(text.__contains__, self.added)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         parts = LATIN_PARTS.findall(text.lower())
         ids = list(map(self.known.get, parts))
@@ -107,16 +92,7 @@ class TextIds:
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """WordIds where the tokenizer file drops white space before merging, else TextIds."""
-    import json
-
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    first = steps[0] if steps else {}
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    lowers = "Lowercase" in str(spec.get("normalizer"))
-    return WordIds(path) if drops and lowers and pattern == WORD_PATTERN else TextIds(path)
+    return WordIds(path) if cuts_words(spec_of(path)) else TextIds(path)
 
 
 def pieces(

@@ -291,13 +291,12 @@ def test_bytes_never_rule_out_a_link():
 
 def test_packing(spark):
     rng = random.Random(4)
-    texts = [None, "", "word", "Ünïcode ＡＢ 中文 \x1c x", *[prose(rng, rng.randint(1, 900)) for _ in range(30)], prose(rng, 6000)]
+    texts = [None, "", "word", "Ünïcode ＡＢ 中文 \x1c x", "ƐWE Əli Ɓa", "hello <|endoftext|> world", *[prose(rng, rng.randint(1, 900)) for _ in range(30)], prose(rng, 6000)]
     path = tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs(spark, texts), path).collect()
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -320,6 +319,20 @@ def test_packing(spark):
     assert len(by_sequence) <= -(-total // 4096) + 1
 
 
+def test_fast_ids_equal_the_tokenizers():
+    """Every character up to U+2FFF between letters, and random mixtures of them."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    whole, fast = Tokenizer.from_file(path), packing.encoder(path)
+    rng = random.Random(8)
+    texts = [f"a{chr(c)}B {chr(c)}'{chr(c)}S" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(rng.choice("aB 'st.9\n" + chr(rng.randrange(32, 0x250)) * 3) for _ in range(40)) for _ in range(4000)]
+    texts += ["<|endoftext|>", "x<|startoftext|>Y<|endoftext|><|endoftext|>", "<|ENDOFTEXT|>"]
+    for text, ids in zip(texts, fast(texts)):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_minimum_slack_is_optimal():
     from collections import Counter
     from itertools import combinations
