@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, minhash, neighbours, packing, sharding, tokens, toxicity, urls
+from . import bpe, decontam, langid, licenses, minhash, neighbours, packing, sharding, tokens, toxicity, urls
 from .common import crc_bucket
 
 
@@ -94,7 +94,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op8_decontamination, op9_sharding, op10_toxicity)}
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the lexicon and decoded again, as digests."""
+    docs, tokenizer = _table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json")
+    lexicon = bpe.publish(spark, bpe.fit_lexicon(docs, tokenizer))
+    return bpe.encode(docs, tokenizer, lexicon, decoded=True).select(
+        "doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op8_decontamination, op9_sharding, op10_toxicity, op13_bpe_encoding)}
 _WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
