@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, minhash, neighbours, packing, sharding, tokens, toxicity, urls, variants
+from . import bpe, decontam, langid, licenses, minhash, neighbours, packing, phrases, sharding, tokens, toxicity, urls, variants
 from .common import crc_bucket
 
 
@@ -94,6 +94,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language in all documents."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their near words, forms and roots."""
     return variants.spelling_variants(_table(spark, sf_dir, "documents"))
@@ -109,7 +114,7 @@ def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op8_decontamination, op9_sharding, op10_toxicity, op12_spelling_variants, op13_bpe_encoding)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_url_filters, op4_packing, op5_minhash_dedup, op6_token_counts, op7_language_id, op8_decontamination, op9_sharding, op10_toxicity, op11_phrase_collocations, op12_spelling_variants, op13_bpe_encoding)}
 _WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
