@@ -118,29 +118,22 @@ QUERIES = {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_u
 _WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-def _seed_sql(table: str, name: str, number: int, mask: str) -> str:
-    looked = " || ' ' || ".join(f"ws[p + {i + 1}]" for i, c in enumerate(mask) if c == "1")
-    return f"SELECT {name}, p, {number} AS mask, {looked} AS seed FROM (SELECT *, unnest(range(len(ws) - {len(mask) - 1})) AS p FROM {table})"
-
-
+#: The definition, without seeds: every item laid over every document at every shift that gives equal words.
 OP8_SQL = f"""
-WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
-ds AS ({" UNION ALL ".join(_seed_sql("d", "doc_id", k, m) for k, m in enumerate(decontam.MASKS))}),
-bs AS ({" UNION ALL ".join(_seed_sql("b", "item_id", k, m) for k, m in enumerate(decontam.MASKS))}),
-laid AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (mask, seed)),
-same AS (
-  SELECT doc_id, item_id, shift, least(len(b.ws), {decontam.WINDOW}) AS n,
-    list_transform(range(len(b.ws)), lambda k: CASE WHEN shift + k >= 0 AND d.ws[shift + k + 1] = b.ws[k + 1] THEN 1 ELSE 0 END) AS m
-  FROM laid JOIN d USING (doc_id) JOIN b USING (item_id)),
+WITH d AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT item_id, ws, len(ws) AS size, CASE WHEN len(ws) < {decontam.SPACED} THEN len(ws) ELSE least(len(ws), {decontam.WINDOW}) END AS n,
+    CASE WHEN len(ws) < {decontam.SPACED} THEN len(ws) ELSE ceil(least(len(ws), {decontam.WINDOW}) * {decontam.SHARE}) END AS least_agreeing
+  FROM (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL) WHERE len(ws) > 0),
+b AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM i),
+laid AS (SELECT doc_id, item_id, p - k AS shift, list(k) AS ks, count(*) AS matched FROM d JOIN b USING (w) GROUP BY ALL),
 best AS (
-  SELECT doc_id, item_id, shift, n, list_sum(m) AS matched,
-    list_max(list_transform(range(len(m) - n + 1), lambda s: list_sum(m[s + 1:s + n]))) AS agreeing
-  FROM same),
+  SELECT doc_id, item_id, shift, n, matched, least_agreeing,
+    list_max(list_transform(ks, lambda s: len(list_filter(ks, lambda k: k >= s AND k < s + n)))) AS agreeing
+  FROM laid JOIN i USING (item_id) WHERE matched >= least_agreeing),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, matched DESC, shift) AS r FROM best)
 SELECT doc_id, item_id, CAST(shift AS BIGINT) AS doc_word, CAST(agreeing AS BIGINT) AS n_agreeing, CAST(n AS BIGINT) AS n_window,
   CAST(matched AS BIGINT) AS n_matched, CAST(agreeing AS DOUBLE) / n AS overlap
-FROM ranked WHERE r = 1 AND agreeing >= ceil(n * {decontam.SHARE})
+FROM ranked WHERE r = 1 AND agreeing >= least_agreeing
 """
 
 ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL}

@@ -388,7 +388,7 @@ def test_forward_backward_equals_enumeration():
 
 def test_decontamination(spark):
     rng = random.Random(8)
-    items = [prose(rng, 30), prose(rng, 16), "short item only"]
+    items = [prose(rng, 30), prose(rng, 16), "short item nowhere"]
     swapped = items[0].split()
     swapped[7] = swapped[20] = "other"
     texts = [prose(rng, 50) + " " + items[0].upper() + ", " + prose(rng, 5), "a b " + " ".join(swapped), prose(rng, 80), items[1], None, "", items[0][:60]]
@@ -403,6 +403,7 @@ def test_decontamination(spark):
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(21)
     items = [" ".join(rng.sample(WORDS, n)) for n in (8, 10, 12, 15)] + [prose(rng, 25), prose(rng, 60)]
+    items += [" ".join(rng.sample(WORDS, n)) for n in (1, 2, 3, 5, 6, 7, 7)]
     texts = []
     for item in items:
         words = item.split()
@@ -416,17 +417,49 @@ def test_decontamination_equals_brute_force(spark):
         for i, item in enumerate(items):
             words = item.split()
             size = min(15, len(words))
+            least = size if size < 8 else -(-size * 4 // 5)
             for shift in range(-len(words), len(have)):
                 same = [0 <= shift + k < len(have) and have[shift + k] == w for k, w in enumerate(words)]
-                if max(sum(same[s : s + size]) for s in range(len(words) - size + 1)) * 5 >= size * 4:
+                if max(sum(same[s : s + size]) for s in range(len(words) - size + 1)) >= least:
                     expected.add((d, i))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(docs(spark, texts), bench).collect()} == expected
     assert len(expected) > 600
 
 
+def test_decontamination_equals_its_sql(spark, tmp_path):
+    """Edited, cut and short items, repeated ids, nulls, empty sides; and the given tables."""
+    from quillspark.llm import queries
+
+    from ..oracle import oracle_rows, rows_of
+
+    rng = random.Random(12)
+    items = [prose(rng, n) for n in (1, 2, 4, 7, 8, 9, 14, 15, 20, 40, 40)] + ["alpha1", None, "", "?!"]
+    texts = [None, "", " . "]
+    for item in items[:11] * 6:
+        words = item.split()
+        for _ in range(rng.randrange(len(words))):
+            words[rng.randrange(len(words))] = rng.choice(("z", rng.choice(WORDS)))
+        low = rng.randrange(len(words))
+        texts.append(prose(rng, rng.randrange(30)) + " " + rng.choice((item, " ".join(words), " ".join(item.split()[low:]))).upper() + ". " + prose(rng, rng.randrange(30)))
+    docs(spark, texts + ["very " * 30_000 + items[9]]).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    for d in ("b", "c"):
+        spark.read.parquet(f"{tmp_path}/a/documents.parquet").limit(0 if d == "b" else 10).write.parquet(f"{tmp_path}/{d}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/a/benchmark.parquet").limit(0 if d == "c" else 10).write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    sizes = []
+    for d in ("a", "b", "c"):
+        frame = queries.op8_decontamination(spark, f"{tmp_path}/{d}")
+        rows = rows_of(frame.columns, frame.collect())
+        sql = queries.OP8_SQL.replace("FROM documents", f"FROM '{tmp_path}/{d}/documents.parquet/*.parquet'").replace("FROM benchmark", f"FROM '{tmp_path}/{d}/benchmark.parquet/*.parquet'")
+        columns, wanted = oracle_rows(sql, f"{tmp_path}/none")
+        assert sorted(frame.columns) == columns and rows == wanted
+        sizes.append(len(rows))
+    assert sizes[0] > 40 and sizes[1:] == [0, 0]
+
+
 def test_seeds_leave_a_hit_in_every_accepted_window():
-    for size in range(decontam.LEAST_ITEM, decontam.WINDOW + 1):
+    for size in range(decontam.SPACED, decontam.WINDOW + 1):
         for wrong in itertools.combinations(range(size), size - -(-size * 4 // 5)):
             assert any(
                 all(at + k not in wrong for k, c in enumerate(mask) if c == "1")
