@@ -51,9 +51,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a benchmark item or a long part of one."""
+    """Without documents that hold a benchmark item or a long part of one. Items of fewer than `decontam.SPACED` words
+    remove nothing: so few words stand in clean documents, too."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.without_ids(docs, decontam.overlaps(docs, benchmark), "doc_id")
+    found = decontam.overlaps(docs, decontam.long_items(benchmark))
+    return decontam.without_ids(docs, found, "doc_id")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
