@@ -9,7 +9,8 @@
 4. Lists: words within one edit share every gram that the edit leaves, moved by one place at most. In any order of grams,
    the first shared one is among the first (bound + 1) of both words, all equal grams at the end counted. So only these
    are indexed, the rarest first, with their places and the word's length, and lists meet by an equi-join.
-5. Verify: candidates are kept if their edit distance is 1.
+5. Verify: candidates are kept if their edit distance is 1. An edit changes for two letters at most whether they occur
+   an odd or even number of times, which one number per word tells before any letters are compared.
 
 The longest length is at most the shorter word's length - QMIN, so that every word keeps one gram at least whatever the
 edit: nothing is missed, however the dictionary was fitted. It depends on the shorter word's length, so a word is
@@ -147,6 +148,14 @@ def _key(gram: str, place: int, length: int, longer: int) -> int:
     return crc32(gram.encode("utf-8")) << 24 | (length & 0xFF) << 16 | (place & 0x7FFF) << 1 | longer
 
 
+def _odd_letters(word: str) -> int:
+    """Bits of the letters (modulo 61) that occur an odd number of times."""
+    bits = 0
+    for letter in word:
+        bits ^= 1 << ord(letter) % 61
+    return bits
+
+
 def near_words(words: DataFrame, pruned: dict[str, int], least: int = LEAST) -> DataFrame:
     """(a, n_a, b, n_b): all pairs of `words` (word, n; distinct, of at least `least` letters) that one edit tells apart,
     each pair once."""
@@ -160,7 +169,9 @@ def near_words(words: DataFrame, pruned: dict[str, int], least: int = LEAST) ->
             for low in range(0, len(batch), 1000):
                 part = batch.slice(low, 1000)
                 keys, asks, owners = [], [], []
-                for owner, word in enumerate(part.column(0).to_pylist()):
+                some = part.column(0).to_pylist()
+                odd = pa.array(map(_odd_letters, some), pa.int64())
+                for owner, word in enumerate(some):
                     n = len(word)
                     own = indexed(word, grams, n)
                     for p, gram in own:  # meets words as long as itself, and asks for those longer by one
@@ -173,15 +184,18 @@ def near_words(words: DataFrame, pruned: dict[str, int], least: int = LEAST) ->
                         keys += [_key(gram, p, n - 1, 1) for p, gram in own]
                         asks += [False] * len(own)
                         owners += [owner] * len(own)
-                rows = part.take(pa.array(owners, pa.int64()))
+                owners = pa.array(owners, pa.int64())
+                rows = part.take(owners)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(asks, pa.bool_()), rows.column(0), rows.column(1)], names=["key", "asks", "word", "n"]
+                    [pa.array(keys, pa.int64()), pa.array(asks, pa.bool_()), odd.take(owners), rows.column(0), rows.column(1)],
+                    names=["key", "asks", "odd", "word", "n"],
                 )
 
-    rows = saved(words.select("word", "n").mapInArrow(lists, "key long, asks boolean, word string, n long"))
-    asking = rows.where("asks").select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
-    listed = rows.where("not asks").select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    met = asking.join(listed, "key").where((F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))))
+    rows = saved(words.select("word", "n").mapInArrow(lists, "key long, asks boolean, odd long, word string, n long"))
+    asking = rows.where("asks").select("key", F.col("odd").alias("odd_a"), F.col("word").alias("a"), F.col("n").alias("n_a"))
+    listed = rows.where("not asks").select("key", F.col("odd").alias("odd_b"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+    alike = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2
+    met = asking.join(listed, "key").where(alike & ((F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 
