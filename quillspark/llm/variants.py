@@ -145,14 +145,14 @@ def indexed(word: str, pruned: dict[str, int], shorter: int) -> list[tuple[int,
 
 def _key(gram: str, place: int, length: int, longer: int) -> int:
     """A list's number. Lists that happen to share one only give candidates that verification drops."""
-    return crc32(gram.encode("utf-8")) << 24 | (length & 0xFF) << 16 | (place & 0x7FFF) << 1 | longer
+    return crc32(f"{gram} {place} {length} {longer}".encode()) - (1 << 31)
 
 
 def _odd_letters(word: str) -> int:
-    """Bits of the letters (modulo 61) that occur an odd number of times."""
+    """Bits of the letters (modulo 31) that occur an odd number of times."""
     bits = 0
     for letter in word:
-        bits ^= 1 << ord(letter) % 61
+        bits ^= 1 << ord(letter) % 31
     return bits
 
 
@@ -170,7 +170,7 @@ def near_words(words: DataFrame, pruned: dict[str, int], least: int = LEAST) ->
                 part = batch.slice(low, 1000)
                 keys, asks, owners = [], [], []
                 some = part.column(0).to_pylist()
-                odd = pa.array(map(_odd_letters, some), pa.int64())
+                odd = pa.array(map(_odd_letters, some), pa.int32())
                 for owner, word in enumerate(some):
                     n = len(word)
                     own = indexed(word, grams, n)
@@ -187,11 +187,11 @@ def near_words(words: DataFrame, pruned: dict[str, int], least: int = LEAST) ->
                 owners = pa.array(owners, pa.int64())
                 rows = part.take(owners)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(asks, pa.bool_()), odd.take(owners), rows.column(0), rows.column(1)],
+                    [pa.array(keys, pa.int32()), pa.array(asks, pa.bool_()), odd.take(owners), rows.column(0), rows.column(1)],
                     names=["key", "asks", "odd", "word", "n"],
                 )
 
-    rows = saved(words.select("word", "n").mapInArrow(lists, "key long, asks boolean, odd long, word string, n long"))
+    rows = saved(words.select("word", "n").mapInArrow(lists, "key int, asks boolean, odd int, word string, n long"))
     asking = rows.where("asks").select("key", F.col("odd").alias("odd_a"), F.col("word").alias("a"), F.col("n").alias("n_a"))
     listed = rows.where("not asks").select("key", F.col("odd").alias("odd_b"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     alike = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2
