@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, snippet, token_estimate
 from ..operators import retrieval as R
+from ..operators import search_index as S
 from ..session import table
-from ..tables import saved
+from ..tables import saved, shared_dir
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -43,9 +46,16 @@ lex AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITI
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    scores = R.bm25(docs, items.select("item_id", F.col("text").alias("query")), "doc_id", "text", "item_id")
-    return R.ranked(scores, "item_id", "doc_id", R.POOL)
+    """The best POOL documents of every item, from the kept index of all documents."""
+    return S.search(kept(spark, sf_dir), asked_items(spark, sf_dir), R.POOL, "item_id", "query", "doc_id")[0]
+
+
+def asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+
+
+def kept(spark: SparkSession, sf_dir: str) -> S.Index:
+    return S.kept_index(spark, f"{sf_dir}/documents.parquet", "doc_id")
 
 
 @query("lexical_search", f"WITH {BM25_SQL} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM lex")
@@ -54,6 +64,20 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(spark, sf_dir).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "SNK2_index_without_language",
+    f"WITH {BM25_SQL.replace('FROM documents)', "FROM documents WHERE lang <> 'fr')", 1)} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM lex WHERE rank <= 10",
+)
+def index_without_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2 SNK1: an index of all documents, then updated by dropping the French ones: hits, statistics and weights are those
+    of the rest, though no block was rewritten."""
+    docs = table(spark, sf_dir, "documents")
+    index = S.build(docs, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id")
+    index = S.update(index, docs.limit(0), docs.where("lang = 'fr'").select("doc_id"), "doc_id")
+    hits = S.search(index, asked_items(spark, sf_dir), 10, "item_id", "query", "doc_id")[0]
+    return hits.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "AGG1_corpus_stats",
     f"WITH {BM25_SQL} SELECT n AS n_chunks, round(a, 6) AS avg_len, (SELECT count(*) FROM f) AS n_terms FROM c",
