@@ -1,68 +1,10 @@
-"""Routing and answering contracts: gates, citations and an offline extractive stand-in for a model."""
+"""Answering contracts: gates, citations and an offline extractive stand-in for a model."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases that name a document, words of reports, stems of such words, openings that ask for a meaning, words that
-# begin a question of its own, verbs after a subject, and words of file names that tell nothing.
-DOCUMENT_PHRASES = (
-    "annual report", "the report", "this report", "the document", "the pdf", "uploaded", "according to", "as per", "per the", "in the filing", "in the pdf",
-    "in the report", "in the document", "the company",
-)
-REPORT_WORDS = (
-    "revenue turnover profit loss margin ebitda ebit assets equity dividend capex borrowing borrowings employee employees headcount director "
-    "directors board committee auditor auditors shareholder shareholders segment plant plants capacity share shares eps tax depreciation expense "
-    "expenses income sales"
-).split()
-REPORT_STEMS = ("liabilit", "subsidiar")
-MEANING_OPENINGS = (
-    "what is", "what are", "what does", "what do", "what's", "define", "explain", "meaning of", "who is", "who was", "who wrote", "who invented", "who discovered",
-    "where is", "when was", "when did", "how does", "how do",
-)
-ASKING_WORDS = "what who when where which how why".split()
-SUBJECT_VERBS = "is are was were did does do has have".split()
-NAME_STOP_WORDS = "pdf report annual ar the and of for final copy doc document".split()
-
-
-def name_terms(names: Column) -> Column:
-    """Words of file names (array) that tell documents apart: three letters at least, no number, period or common word."""
-    words = F.flatten(F.transform(names, lambda n: F.split(F.lower(n), "[^a-z0-9]+")))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^(fy)?\d*$") & ~w.isin(NAME_STOP_WORDS)))
-
-
-def clauses(question: Column) -> Column:
-    """The parts of a question, cut at question marks, semicolons, and an `and` that begins another question."""
-    asking, verbs = "|".join(ASKING_WORDS), "|".join(SUBJECT_VERBS)
-    cut = F.split(question, rf"(?i)[?;]\s*|,\s*and\s+(?=(?:\w+\s+(?:{verbs})|{asking})\b)|\s+and\s+(?=(?:{asking})\b)")
-    return F.filter(F.transform(cut, F.trim), lambda c: c.rlike(r"[^\s?.]"))
-
-
-def about_document(clause: Column, terms: Column) -> Column:
-    """Whether a clause asks about a document: it names one (a phrase, a period, a year, a page, a word of a file name), or holds a
-    word of reports and does not ask for a meaning."""
-    plain = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(clause), F.lit(r"([a-z0-9']+)"), F.lit(1)), " "), F.lit(" "))
-    words = F.split(F.trim(plain), " ")
-    named = F.lit(False)
-    for phrase in DOCUMENT_PHRASES:
-        named = named | F.contains(plain, F.lit(f" {phrase} "))
-    period = plain.rlike(r" (fy ?\d{2,4}|(19|20)\d\d|page \d+) ")
-    asks_meaning = F.lit(False)
-    for opening in MEANING_OPENINGS:
-        asks_meaning = asks_meaning | F.startswith(plain, F.lit(f" {opening} "))
-    report = F.exists(words, lambda w: w.isin(REPORT_WORDS) | w.rlike("^(" + "|".join(REPORT_STEMS) + ")")) | F.contains(plain, F.lit(" cash flow "))
-    return named | period | F.arrays_overlap(words, terms) | (report & ~asks_meaning)
-
-
-def route(question: Column, names: Column | None = None) -> Column:
-    """MIXED where some clauses of a question are about a document and some are not, DOCUMENT where it is about one, else GENERAL."""
-    terms = name_terms(names) if names is not None else F.array().cast("array<string>")
-    parts = F.transform(clauses(question), lambda c: about_document(c, terms))
-    mixed = (F.size(parts) >= 2) & F.array_contains(parts, True) & F.array_contains(parts, False)
-    return F.when(F.coalesce(mixed, F.lit(False)), "MIXED").when(F.coalesce(about_document(question, terms), F.lit(False)), "DOCUMENT").otherwise("GENERAL")
-
-
 def valid_citations(cited: Column, known: Column) -> Column:
     """Cited ids that are known, normalised, each once, in order."""
     plain = F.transform(cited, lambda c: F.upper(F.regexp_replace(c, r"[\[\]\s]", "")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapsed, search_terms
 from ..operators import answers as A
 from ..operators import chunking as K
+from ..operators import router as Q
 from ..session import table
 from ..tables import shared_dir
 from ..streaming import ingest as I
@@ -66,24 +67,49 @@ def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") < 120) & (F.col("doc_id") % 10 / 10.0 >= 0.6)).alias("scanned"))
 
 
-# Questions by the remainder of an event's id, and where they belong.
-_QUESTIONS = [
-    ("What revenue did the report show?", "DOCUMENT"), ("What is revenue?", "GENERAL"), ("Explain inflation in simple words", "GENERAL"),
-    ("Total income and employees by segment", "DOCUMENT"), ("Who wrote Hamlet?", "GENERAL"), ("What was the margin in FY 25, and who invented the telephone?", "MIXED"),
-    ("Define EBITDA; profit of the company", "MIXED"), ("How many plants does Acme have", "DOCUMENT"), ("hello there", "GENERAL"), ("Tell me about Acme on page 12", "DOCUMENT"),
-    ("What are subsidiaries?", "GENERAL"), ("Liabilities and what is a bond", "MIXED"), ("What was 2024 like", "DOCUMENT"),
-]
-
-
-@query(
-    "STR12_keyword_router",
-    "SELECT event_id, CASE event_id % " + str(len(_QUESTIONS)) + "".join(f" WHEN {n} THEN '{r}'" for n, (_, r) in enumerate(_QUESTIONS)) + " END AS route FROM events",
-)
+def _any(entries: list[str]) -> str:
+    return "|".join(e[:-1] + "[a-z0-9]*" if e[-1] == "*" else e for e in entries).replace("'", "''")
+
+
+# The router by regular expressions: parts are cut at a mark, which stands in for a look-ahead.
+_ABOUT = (
+    r"CASE WHEN regexp_matches(c, '\b(?:fy ?[0-9]{2,4}|(?:19|20)[0-9][0-9]|page [0-9]+|DOCUMENT)\b') THEN TRUE "
+    r"WHEN regexp_matches(c, '^[^a-z0-9]*(?:and )?(?:MEANING)\b') OR regexp_matches(c, '^[^a-z0-9]*(?:and )?how (?:do|does) .*\bwork\b') THEN FALSE "
+    r"ELSE regexp_matches(c, '\b(?:TOPIC)\b') END"
+).replace("DOCUMENT", _any(Q.VOCABULARY["document"])).replace("MEANING", _any(Q.VOCABULARY["meaning"])).replace("TOPIC", _any(Q.VOCABULARY["topic"]))
+_PARTS = (
+    r"string_split(regexp_replace(regexp_replace(regexp_replace(low, '[?;]', chr(1), 'g'), ',\s*and (\w+ (?:VERBS)\b)', chr(1) || '\1', 'g'), "
+    r"'\band ((?:ASKING)\b)', chr(1) || '\1', 'g'), chr(1))"
+).replace("VERBS", "|".join(Q.AUXILIARIES)).replace("ASKING", "|".join(Q.ASKING))
+ROUTED_SQL = f"""
+low AS (SELECT id, lower(coalesce(question, '')) AS low FROM asked),
+part AS (SELECT id, unnest(list_filter({_PARTS}, lambda c: regexp_matches(c, '[a-z0-9]'))) AS c FROM low),
+kinds AS (SELECT id, count(DISTINCT {_ABOUT}) AS n FROM part GROUP BY id),
+whole AS (SELECT id, {_ABOUT} AS about FROM (SELECT id, low AS c FROM low)),
+routed AS (SELECT id, CASE WHEN n = 2 THEN 'MIXED' WHEN about THEN 'DOCUMENT' ELSE 'GENERAL' END AS route FROM whole LEFT JOIN kinds USING (id))
+"""
+# What every order and its customer may be asked about: values of the tables in the places that decide.
+ASKED_SQL = """
+asked AS (SELECT o_orderkey AS id, CASE o_orderstatus
+  WHEN 'F' THEN 'What was the profit of ' || c_name || ' in ' || year(o_orderdate) || ', and what is a ' || lower(c_mktsegment) || ' bond?'
+  WHEN 'O' THEN 'What is the ' || lower(c_mktsegment) || ' ' || CASE WHEN o_totalprice > 250000 THEN 'revenue' ELSE 'business' END || '; which ' || lower(substr(o_orderpriority, 3)) || ' plants?'
+  ELSE 'Tell me about the ' || lower(c_mktsegment) || ' orders and who placed ' || lower(substr(o_orderpriority, 3)) END AS question
+  FROM orders JOIN customer ON c_custkey = o_custkey)
+"""
+
+
+@query("STR12_keyword_router", f"WITH {ASKED_SQL}, {ROUTED_SQL} SELECT id, route FROM routed")
 def keyword_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR12: the keyword router on a question of thirteen shapes per event."""
-    question = F.get(F.array(*[F.lit(q) for q, _ in _QUESTIONS]), (F.col("event_id") % len(_QUESTIONS)).cast("int"))
-    names = F.array(F.lit("Acme AR FY25.pdf"), F.lit("annual report 2024.pdf"))
-    return table(spark, sf_dir, "events").select("event_id", A.route(question, names).alias("route"))
+    """STR12: the keyword router on a question about every order."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    both = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+    segment, priority = F.lower("c_mktsegment"), F.lower(F.substr("o_orderpriority", F.lit(3)))
+    question = (
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("What was the profit of "), "c_name", F.lit(" in "), F.year("o_orderdate"), F.lit(", and what is a "), segment, F.lit(" bond?")))
+        .when(F.col("o_orderstatus") == "O", F.concat(F.lit("What is the "), segment, F.when(F.col("o_totalprice") > 250000, " revenue").otherwise(" business"), F.lit("; which "), priority, F.lit(" plants?")))
+        .otherwise(F.concat(F.lit("Tell me about the "), segment, F.lit(" orders and who placed "), priority))
+    )
+    return both.select(F.col("o_orderkey").alias("id"), Q.keyword_route(question).alias("route"))
 
 
 @query(

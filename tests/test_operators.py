@@ -152,10 +152,6 @@ def test_upsert_leaves_other_columns(spark):
     assert [tuple(r) for r in rows] == [(1, "z", 5), (2, "y", None), (3, "n", None)]
 
 
-def test_routes_and_gates(spark):
-    assert column(spark, answers.route, "Profit by segment; define equity", "Define equity", "hello", "Sales in FY26") == ["MIXED", "GENERAL", "GENERAL", "DOCUMENT"]
-
-
 def test_flat_yaml_and_appended_records(spark, tmp_path):
     from quillspark.sources import files
 
