@@ -108,7 +108,7 @@ class _Coder:
 
     def __call__(self, lang: str, text: str) -> np.ndarray:
         found, known = _cut(text), self.known.setdefault(lang, {b"A": 0})
-        for word in set(found) - known.keys():
+        for word in [w for w in set(found) if w not in known]:
             bit = crc32(word, crc32(lang.encode() + b"\n")) % self.size
             self.seen += 1
             if self.words[bit >> 3] >> (bit & 7) & 1:
