@@ -115,8 +115,38 @@ def indicator(name: str, value: Column, n: Column, least: int = 5) -> Column:
     )
 
 
-def rolling_budget(frame: DataFrame, group_col: str, ts_col: str, cost_col: str, seconds: int = 60) -> DataFrame:
-    """Add `spent`: the group's cost over the `seconds` up to and with each row."""
-    at = F.col(ts_col).cast("timestamp").cast("double")
-    window = Window.partitionBy(group_col).orderBy("at_second").rangeBetween(-seconds, 0)
-    return frame.withColumn("at_second", F.floor(at)).withColumn("spent", F.sum(cost_col).over(window)).drop("at_second")
+def rolling_budget(frame: DataFrame, group_col: str, ts_col: str, cost_col: str, seconds: int = 60, span: int = 3600) -> DataFrame:
+    """Add `spent`: the group's cost over the `seconds` up to and with each row.
+
+    Costs are summed by second first. A window covers a group's `span` of seconds and the `seconds` before it, so a group
+    of any length is dealt to many tasks.
+    """
+    at = F.floor(F.col(ts_col).cast("timestamp").cast("double"))
+    timed = frame.withColumn("at_second", at)
+    sums = timed.groupBy(group_col, "at_second").agg(F.sum(cost_col).alias("cost"))
+    own, later = F.floor(F.col("at_second") / span), F.floor((F.col("at_second") + seconds) / span)
+    copied = sums.withColumn("part", F.explode(F.array_distinct(F.array(own, later)))).withColumn("own", own == F.col("part"))
+    window = Window.partitionBy(group_col, "part").orderBy("at_second").rangeBetween(-seconds, 0)
+    spent = copied.withColumn("spent", F.sum("cost").over(window)).where("own").select(group_col, "at_second", "spent")
+    return timed.join(spent, [group_col, "at_second"], "left").select(*frame.columns, "spent")
+
+
+def islands(frame: DataFrame, keys: list[str], value: str, gap: float) -> DataFrame:
+    """(keys, cluster, n, low, high): runs of a group's values in which each lies at most `gap` above the one before, numbered
+    from 0. Nulls are left out.
+
+    Values are dealt by range, as in `value_ranks`; one row a range carries the last value and the number of runs on.
+    """
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    dealt = saved(counts.repartitionByRange(*keys, value).withColumn("range", F.spark_partition_id()))
+    inside, across = Window.partitionBy(*keys, "range").orderBy(value), Window.partitionBy(*keys).orderBy("range")
+    marked = dealt.withColumn("fresh", (F.col(value) - F.lag(value).over(inside) > gap).cast("long"))
+    ends = dealt.groupBy(*keys, "range").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    begins = F.when(F.col("low") - F.lag("high").over(across) > gap, 1).otherwise(0)
+    runs = marked.groupBy(*keys, "range").agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("runs"))
+    steps = ends.withColumn("begins", begins).join(runs, [*keys, "range"])
+    before = F.sum(F.col("begins") + F.col("runs")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("runs")
+    base = steps.select(*keys, "range", before.alias("base"))
+    placed = marked.withColumn("inside", F.sum(F.coalesce("fresh", F.lit(0))).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(base, [*keys, "range"])
+    clusters = placed.withColumn("cluster", (F.col("base") + F.col("inside")).cast("long")).groupBy(*keys, "cluster")
+    return clusters.agg(F.sum("c").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))

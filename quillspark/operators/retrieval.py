@@ -11,13 +11,57 @@ from ..functions.text import search_terms, table_key, token_estimate
 from ..tables import saved
 
 K1, B, RRF_K, POOL, LEXICAL_WEIGHT = 1.5, 0.75, 60, 50, 20.0
-#: Rows of a side that may be broadcast.
-SMALL_ROWS = 1_000_000
+#: Rows and bytes of a side that may be broadcast.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 64 << 20
 
 
-def small(frame: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
-    """A broadcast hint where the rows, counted first, are at most `bound`; else the frame as it is."""
-    return F.broadcast(frame) if frame.limit(bound + 1).count() <= bound else frame
+def _bytes_of(frame: DataFrame) -> Column:
+    """A row's bytes, about: texts and arrays by their length, anything else 8."""
+    total = F.lit(8 * len(frame.columns))
+    for name, kind in frame.dtypes:
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            total = total + F.coalesce(F.aggregate(name, F.lit(0), lambda t, x: t + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            total = total + 16 * F.coalesce(F.size(name), F.lit(0))
+    return total
+
+
+def small(frame: DataFrame, bound: int = SMALL_ROWS, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """A broadcast hint where rows and bytes, measured first, are within bounds; else the frame as it is. Give it a written table
+    where the frame is costly: measuring runs it."""
+    seen = frame.limit(bound + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(_bytes_of(frame).cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(frame) if seen["rows"] <= bound and seen["bytes"] <= most_bytes else frame
+
+
+def _windows(words: Column, size: int) -> Column:
+    """Hashes of all windows of `size` words."""
+    at = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.slice(words, i + 1, size)))
+
+
+def gold_documents(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    share: float = 0.5, width: int = 5,
+) -> DataFrame:
+    """(item, doc, found, n): documents that hold at least `share` of an item's distinct windows of `width` words (of all its
+    words where it has fewer), which makes them gold. Windows of whole items meet windows of whole texts by an equi-join
+    of 64-bit hashes. Items without a word have no gold."""
+    cut = lambda column: F.filter(F.split(F.coalesce(F.col(column), F.lit("")), r"\s+"), lambda w: w != "")
+    asked = saved(items.select(F.col(item_col), cut(item_text_col).alias("words")).where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(width))))
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # `width` at most
+    if not sizes:
+        return asked.select(item_col).crossJoin(docs.select(id_col).limit(0)).withColumns({"found": F.lit(0).cast("long"), "n": F.lit(0).cast("long")})
+    wanted = None
+    for size in sizes:
+        some = asked.where(F.col("size") == size).select(item_col, F.array_distinct(_windows(F.col("words"), size)).alias("keys"))
+        some = some.select(item_col, F.size("keys").cast("long").alias("n"), F.explode("keys").alias("key"))
+        wanted = some if wanted is None else wanted.unionAll(some)
+    held = docs.select(id_col, cut(text_col).alias("words"))
+    keys = held.select(id_col, F.explode(F.array_distinct(F.concat(*[_windows(F.col("words"), size) for size in sizes]))).alias("key"))
+    met = keys.join(small(saved(wanted)), "key").groupBy(item_col, id_col, "n").agg(F.count("*").alias("found"))
+    return met.where(F.col("found") >= F.col("n") * share).select(item_col, id_col, "found", "n")
 
 
 def corpus_stats(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:

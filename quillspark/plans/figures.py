@@ -238,14 +238,10 @@ c AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY value, event_i
 SELECT event_type, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, min(value) AS low, max(value) AS high FROM c GROUP BY 1, 2 HAVING count(*) >= 6""",
 )
 def column_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN13 WIN14: gaps-and-islands against the edge before, clusters of at least six."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("event_type").orderBy("value", "event_id")
-    edges = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
-    fresh = (F.col("value") - F.lag("value").over(order) > 8).cast("int")
-    marked = edges.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("cluster", F.sum("fresh").over(order))
-    return marked.groupBy("event_type", "cluster").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).where("n >= 6")
+    """WIN13 WIN14: gaps-and-islands against the edge before, clusters of at least six, dealt by ranges of edges."""
+    from ..operators import metrics as M
+
+    return M.islands(table(spark, sf_dir, "events"), ["event_type"], "value", 8).where("n >= 6")
 
 
 @query(

@@ -199,30 +199,30 @@ def fitted_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.col("tokens").cast("long").alias("tokens"), F.col("used_tokens").cast("long").alias("used_tokens"))
 
 
-GOLD_SQL = """
-gold AS (SELECT b.item_id, d.doc_id, d.lang FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))
+_CUT = r"list_filter(regexp_split_to_array(coalesce({}, ''), '\s+'), lambda w: w <> '')"
+# Gold: documents that hold half of an item's distinct windows of five words, of all its words where it has fewer.
+GOLD_SQL = f"""
+gi AS (SELECT item_id, least(len(ws), 5) AS size, list_distinct(list_transform(range(len(ws) - least(len(ws), 5) + 1), lambda i: array_to_string(ws[i + 1:i + least(len(ws), 5)], ' '))) AS keys
+  FROM (SELECT item_id, {_CUT.format("text")} AS ws FROM benchmark) WHERE len(ws) > 0),
+gw AS (SELECT item_id, len(keys) AS n, size, unnest(keys) AS k FROM gi),
+gd AS (SELECT doc_id, lang, {_CUT.format("text")} AS ws FROM documents),
+gk AS (SELECT DISTINCT doc_id, lang, size, k FROM (SELECT doc_id, lang, size, unnest(list_transform(range(len(ws) - size + 1), lambda i: array_to_string(ws[i + 1:i + size], ' '))) AS k
+  FROM gd, (SELECT DISTINCT size FROM gi) WHERE len(ws) >= size)),
+gold AS (SELECT item_id, doc_id, lang FROM gw JOIN gk USING (size, k) GROUP BY item_id, doc_id, lang, n HAVING count(*) >= n * 0.5)
 """
 
 
 def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's first 60 characters, which define what is gold.
-
-    Candidates come from an equi-join: where a text holds such a head, it holds the head's second to fourth parts between
-    blanks. Heads of fewer parts are rare, and each text is searched for them.
-    """
-    heads = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.left("text", F.lit(60)).alias("head")).withColumn("parts", F.split("head", " "))
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "text")
-    whole = heads.where(F.size("parts") >= 5).select("item_id", "head", F.xxhash64(*[F.get("parts", F.lit(i)) for i in (1, 2, 3)]).alias("key"))
-    cut = docs.withColumn("parts", F.split("text", " "))
-    at = F.sequence(F.lit(0), F.greatest(F.size("parts") - 3, F.lit(0)))
-    keys = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.get("parts", i), F.get("parts", i + 1), F.get("parts", i + 2))))
-    found = cut.select("doc_id", "lang", F.explode(keys).alias("key")).join(R.small(whole.select("item_id", "key")), "key").select("doc_id", "item_id").distinct()
-    checked = docs.join(R.small(found), "doc_id").join(R.small(whole.select("item_id", "head")), "item_id").where(F.contains("text", F.col("head")))
-    short = saved(heads.where(F.size("parts") < 5).select("item_id", "head"))
-    out = checked.select("item_id", "doc_id", "lang")
-    if short.isEmpty():
-        return out
-    return out.union(docs.join(short, F.contains("text", F.col("head"))).select("item_id", "doc_id", "lang"))
+    """(item, doc, lang): the gold documents of every item, by windows of the whole item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = R.gold_documents(docs, table(spark, sf_dir, "benchmark")).select("item_id", "doc_id")
+    return saved(docs.select("doc_id", "lang").join(R.small(saved(found)), "doc_id").select("item_id", "doc_id", "lang"))
+
+
+@query("AGG23_gold_documents", f"WITH {GOLD_SQL} SELECT item_id, doc_id FROM gold")
+def gold_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG23 FLT12: which documents are gold for which item."""
+    return gold_pairs(spark, sf_dir).select("item_id", "doc_id")
 
 
 @query(
