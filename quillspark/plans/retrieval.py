@@ -108,6 +108,16 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_top(vectors, asking, 8).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("TOP2_probed_search", f"WITH {DENSE_SQL} SELECT query_id, vec_id, score, CAST(rank AS BIGINT) AS rank FROM dense")
+def probed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP2: the same by inverted lists, read until no other list can hold a nearer vector."""
+    from ..operators import dense_index as D
+
+    vectors = table(spark, sf_dir, "embeddings")
+    asking = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return D.search(D.build(vectors), asking, 8)[0].select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # Documents stand for each other by length: a second ranked list over the same ids, to fuse with keyword search.
 LENGTH_SQL = """
 byl AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS rank FROM lex JOIN documents USING (doc_id)),

@@ -88,13 +88,15 @@ def test_decomposition_keeps_a_gram_after_any_edit():
             if len(gram) == 2 or gram[:-1] in pruned:
                 if rng.random() < 0.7:
                     pruned[gram] = rng.randint(1, 9)
-        one, bound = variants.decompose(short, pruned, longest)
-        two, _ = variants.decompose(long_, pruned, longest)
+        one, two = (list(enumerate(g for _, g, _ in variants.decompose(w, pruned, longest))) for w in (short, long_))
+        reads = [(p, last) for p, (_, _, last) in enumerate(variants.decompose(short, pruned, longest))]
+        bound = max(sum(p <= at <= last for p, last in reads) for at in range(len(short) + 1))
         shifts = (0,) if len(short) == len(long_) else (0, 1)
         kept = [(p, g) for p, g in one if any((p + s, g) in two for s in shifts)]
         assert len(one) - len(kept) <= bound < len(one)
-        a, b = variants.indexed(short, pruned, len(short)), variants.indexed(long_, pruned, len(short))
-        assert any((p + s, g) in b for p, g in a for s in shifts)
+        _, asked = variants.lists_and_asks(short, pruned, len(short))
+        listed, _ = variants.lists_and_asks(long_, pruned, len(short))
+        assert len(asked) == 2 and any((p + s, g) in listed for p, g in asked for s in shifts)
 
 
 def test_long_words_meet_by_halves(spark):
