@@ -5,15 +5,15 @@
    `frequent` words hold is pruned in favour of its extensions by one letter, up to a longest length.
 3. Decomposition: at each place of a word the shortest unpruned gram begins (else the one that ends the word or has the
    longest length). Finding it reads certain letters and no others, so an edit changes just the grams that read its
-   place. The most grams that any single edit of this word can change is the word's own bound.
-4. Lists: words within one edit share every gram that the edit leaves, moved by one place at most. In any order of grams,
-   the first shared one is among the first (bound + 1) of both words, all equal grams at the end counted. So only these
-   are indexed, the rarest first, with their places and the word's length, and lists meet by an equi-join.
+   place. The most of some grams of a word that any single edit can change is the bound of these grams.
+4. Lists: words within one edit share every gram that the edit leaves, moved by one place at most. A word lists all its
+   grams, with their places and its length, and asks for the rarest ones whose bound is below their number: two grams that
+   read no letter in common, so that any edit leaves one of them. Lists meet by an equi-join.
 5. Verify: candidates are kept if their edit distance is 1. An edit changes for two letters at most whether they occur
    an odd or even number of times, which one number per word tells before any letters are compared.
 
-The longest length is at most the shorter word's length - QMIN, so that every word keeps one gram at least whatever the
-edit: nothing is missed, however the dictionary was fitted. It depends on the shorter word's length, so a word is
+The longest length is at most the shorter word's length - QMIN. So there are more grams than any edit can change, hence two
+that read no letter in common: nothing is missed, however the dictionary was fitted. It depends on the shorter word's length, so a word is
 decomposed for words as long as itself, and for those shorter by one. Very long words have just two grams, their halves.
 """
 
@@ -108,9 +108,9 @@ def fit_grams(words: DataFrame, frequent: int = FREQUENT, sample: int = SAMPLE,
     return {r["word"]: r["n"] for r in top if r["n"] > least}
 
 
-def decompose(word: str, pruned: dict[str, int], longest: int) -> tuple[list[tuple[int, str]], int]:
-    """The word's grams, rarest first (equal grams together), and how many of them a single edit can change at most."""
-    n, found, cover = len(word), [], [0] * (len(word) + 2)
+def decompose(word: str, pruned: dict[str, int], longest: int) -> list[tuple[int, str, int]]:
+    """The word's gram at each place: its frequency (0 where not pruned), itself, and the last place that finding it reads."""
+    n, found = len(word), []
     for p in range(n - QMIN + 1):
         q = QMIN
         while q < longest and p + q < n and word[p : p + q] in pruned:
@@ -118,29 +118,24 @@ def decompose(word: str, pruned: dict[str, int], longest: int) -> tuple[list[tup
         gram = word[p : p + q]
         frequency = pruned.get(gram, 0)
         # the word's end was read, too, where only it stopped the gram from growing
-        last = p + q if p + q == n and q < longest and frequency else p + q - 1
-        cover[p] += 1
-        cover[last + 1] -= 1
-        found.append((frequency, gram, p))
-    most = depth = 0
-    for change in cover:
-        depth += change
-        most = max(most, depth)
-    found.sort()
-    return [(p, gram) for _, gram, p in found], most
-
-
-def indexed(word: str, pruned: dict[str, int], shorter: int) -> list[tuple[int, str]]:
-    """The grams to index for pairs whose shorter word has `shorter` letters: the first (bound + 1), and those equal to the
-    last of them."""
+        found.append((frequency, gram, p + q if p + q == n and q < longest and frequency else p + q - 1))
+    return found
+
+
+def lists_and_asks(word: str, pruned: dict[str, int], shorter: int) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """(place, gram) of what a word lists and of what it asks for, in pairs whose shorter word has `shorter` letters."""
     if shorter > LONG:
         half = shorter // 2
-        return [(0, word[:half]), (2, word[-half:])]
-    found, most = decompose(word, pruned, min(QMAX, shorter - QMIN))
-    end = min(most + 1, len(found))
-    while end < len(found) and found[end][1] == found[end - 1][1]:
-        end += 1
-    return found[:end]
+        both = [(0, word[:half]), (2, word[-half:])]
+        return both, both
+    found = decompose(word, pruned, min(QMAX, shorter - QMIN))
+    best = None
+    for p, (frequency, _, last) in enumerate(found):
+        for other in range(last + 1, len(found)):
+            cost = frequency + found[other][0]
+            if best is None or cost < best[0]:
+                best = (cost, p, other)
+    return [(p, gram) for p, (_, gram, _) in enumerate(found)], [(p, found[p][1]) for p in best[1:]]
 
 
 def _key(gram: str, place: int, length: int, longer: int) -> int:
@@ -173,14 +168,15 @@ def near_words(words: DataFrame, pruned: dict[str, int], least: int = LEAST) ->
                 odd = pa.array(map(_odd_letters, some), pa.int32())
                 for owner, word in enumerate(some):
                     n = len(word)
-                    own = indexed(word, grams, n)
-                    for p, gram in own:  # meets words as long as itself, and asks for those longer by one
-                        keys += (_key(gram, p, n, 0), _key(gram, p, n, 0), _key(gram, p, n, 1), _key(gram, p + 1, n, 1))
-                        asks += (False, True, True, True)
-                    owners += [owner] * (4 * len(own))
+                    own, asked = lists_and_asks(word, grams, n)
+                    keys += [_key(gram, p, n, 0) for p, gram in own]
+                    for p, gram in asked:  # for words as long as itself, and those longer by one
+                        keys += (_key(gram, p, n, 0), _key(gram, p, n, 1), _key(gram, p + 1, n, 1))
+                    asks += [False] * len(own) + [True] * (3 * len(asked))
+                    owners += [owner] * (len(own) + 3 * len(asked))
                     if n > least:  # is found by words shorter by one
                         if not QMAX + QMIN < n <= LONG:  # else the grams are the same
-                            own = indexed(word, grams, n - 1)
+                            own, _ = lists_and_asks(word, grams, n - 1)
                         keys += [_key(gram, p, n - 1, 1) for p, gram in own]
                         asks += [False] * len(own)
                         owners += [owner] * len(own)
