@@ -31,7 +31,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bits a key of a bit set, and the logarithm of the most bits (64 MB).
 BITS_A_KEY, MOST_BITS = 16, 29
 #: Words handled at a time, and distinct words that a task holds.
-WORDS, HELD = 2_000_000, 500_000
+WORDS, HELD = 1_000_000, 250_000
 #: Rows of a counted side that may be broadcast.
 SMALL_ROWS = 500_000
 #: Shards of the first cut of each language's ranking.
