@@ -11,8 +11,10 @@ from ..operators import chunking as K
 from ..operators import router as Q
 from ..session import table
 from ..tables import shared_dir
+from ..operators import search_index as S
 from ..streaming import ingest as I
 from .registry import query
+from .retrieval import BM25_SQL, kept, terms_sql
 
 
 @query("UDTF1_chunks")
@@ -183,3 +185,39 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR4: length of the text with white space collapsed."""
     return table(spark, sf_dir, "documents").select("doc_id", F.length(collapsed(F.col("text"))).cast("long").alias("n"))
+
+
+# Items of the benchmark ask about documents, users' turns are talk.
+_LABELLED_SQL = """
+asked AS (SELECT 'i' || item_id AS id, text AS question, 'DOCUMENT' AS truth FROM benchmark
+  UNION ALL SELECT 'c' || conv_id || '.' || turn, text, 'GENERAL' FROM conversations WHERE role = 'user')
+"""
+
+
+@query(
+    "AGG38_router_benchmark",
+    f"""WITH {_LABELLED_SQL}, {ROUTED_SQL}, {BM25_SQL.replace("SELECT DISTINCT item_id, unnest(" + terms_sql("text") + ") AS term FROM benchmark", "SELECT DISTINCT id AS item_id, unnest(" + terms_sql("question") + ") AS term FROM asked")},
+best AS (SELECT item_id AS id, max(score) AS score FROM s GROUP BY item_id),
+v AS (SELECT id, truth, 'keyword' AS variant, route FROM asked JOIN routed USING (id)
+  UNION ALL SELECT id, truth, 'score', CASE WHEN coalesce(score, 0) >= 60 THEN 'DOCUMENT' ELSE 'GENERAL' END FROM asked LEFT JOIN best USING (id)
+  UNION ALL SELECT id, truth, 'constant', 'DOCUMENT' FROM asked)
+SELECT variant, count(*) AS n, round(avg(CASE WHEN route = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy, CAST(count(*) FILTER (route <> truth AND truth = 'DOCUMENT') AS BIGINT) AS missed,
+CAST(count(*) FILTER (route <> truth AND truth = 'GENERAL') AS BIGINT) AS wrongly_sent FROM v GROUP BY variant""",
+)
+def router_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG38: three routers side by side on benchmark items and users' turns: keywords, the best hit's score, and the fallback
+    that sends everything to the documents."""
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("i"), "item_id").alias("id"), F.col("text").alias("question"), F.lit("DOCUMENT").alias("truth"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = turns.select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), F.col("text").alias("question"), F.lit("GENERAL").alias("truth"))
+    asked = items.unionAll(turns)
+    best = S.search(kept(spark, sf_dir), asked.select("id", F.col("question").alias("query")), 1, "id", "query", "doc_id")[0].select("id", "score")
+    routed = asked.join(best, "id", "left").select(
+        "id", "truth", Q.keyword_route(F.col("question")).alias("keyword"), Q.score_route(F.col("score"), 60.0).alias("score"), F.lit("DOCUMENT").alias("constant"),
+    )
+    long = routed.unpivot(["id", "truth"], ["keyword", "score", "constant"], "variant", "route")
+    wrong = F.col("route") != F.col("truth")
+    return long.groupBy("variant").agg(
+        F.count("*").alias("n"), F.round(F.avg((~wrong).cast("double")), 6).alias("accuracy"), F.count_if(wrong & (F.col("truth") == "DOCUMENT")).alias("missed"),
+        F.count_if(wrong & (F.col("truth") == "GENERAL")).alias("wrongly_sent"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..session import table
+from ..tables import saved
 from .registry import query
 
 # How an event's columns stand for a request's, in SQL that Spark and DuckDB share.
@@ -309,3 +310,15 @@ def online_judging(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     outcome = F.when(c("route") == "GENERAL", "not_document").when(c("judge_correct").isNull(), "no_content").when(c("judge_correct") == 1, "correct").otherwise("wrong")
     return request_log(spark, sf_dir).where("status = 'answered'").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("AGG4_sketch_errors", "SELECT event_type, share, TRUE AS within FROM (SELECT DISTINCT event_type FROM events WHERE value IS NOT NULL), (SELECT unnest([0.5, 0.95, 0.99]) AS share)")
+def sketch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG4 AGG14 AGG27: percentiles of every type's values from merged daily sketches, and whether their true ranks lie within
+    1.5 % of the wanted ones."""
+    from ..operators import sketches
+
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "value")
+    days = saved(sketches.daily_sketches(events, ["event_type"], "ts", "value"))
+    errors = sketches.rank_errors(events, sketches.window_quantiles(days, ["event_type"]), ["event_type"], "value")
+    return errors.select("event_type", "share", (F.coalesce("error", F.lit(1.0)) <= 0.015).alias("within"))
