@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +102,47 @@ def table_pieces(title: str, rows: list[list[str]], budget: int) -> list[str]:
     return ["\n".join([head, *group]) for group in groups]
 
 
+class TablePieces:
+    """A table function: the rows of a table, in order, become Markdown pieces, as by `table_pieces`, one row held at a time.
+
+    Called as `table_pieces(TABLE(t) PARTITION BY key ORDER BY ..., budget)`; a row has `key`, `title`, `header` and `cells`. A
+    table of any length streams through one task, which holds one piece of it.
+    """
+
+    def __init__(self):
+        self.key, self.rows, self.used, self.piece = None, [], 0, 0
+
+    def eval(self, row, budget: int) -> Iterator[tuple]:
+        line = _table_line(row["cells"])
+        if self.key is None:
+            self.key = row["key"]
+            self.head = (f"{row['title']}\n" if row["title"] else "") + _table_line(row["header"]) + "\n" + _table_line(["---"] * len(row["header"]))
+            self.room = budget - estimate(self.head)
+        cost = estimate(line)
+        if self.rows and self.used + cost > self.room:
+            yield self._done()
+        self.rows.append(line)
+        self.used += cost
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.rows:
+            yield self._done()
+
+    def _done(self) -> tuple:
+        out = (self.key, self.piece, "\n".join([self.head, *self.rows]))
+        self.rows, self.used, self.piece = [], 0, self.piece + 1
+        return out
+
+
+def _table_line(cells: list[str]) -> str:
+    return "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |"
+
+
+def register_table_pieces(spark: SparkSession, key_type: str = "long") -> None:
+    """Make `table_pieces` known to SQL."""
+    spark.udtf.register("table_pieces", F.udtf(TablePieces, returnType=f"key {key_type}, piece int, text string"))
+
+
 def anchored_rows(words: DataFrame, page_col: str, y_col: str, tolerance: float = 3.0) -> DataFrame:
     """Add row_no: words within `tolerance` of the row's first y (its anchor) are one row. A fold over a page's sorted
     distinct heights, which a page bounds; a comparison with the height before would chain."""

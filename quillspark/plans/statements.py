@@ -113,3 +113,25 @@ def derived_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("grp"), (F.col("o_totalprice").cast("decimal(18,2)") / 2000).alias("c"))
     claimed = orders.select("grp", F.explode(F.array(*[F.struct(F.round("c", d).cast("decimal(24,6)").alias("claim"), F.lit(d).alias("decimals")) for d in (0, 1)])).alias("x")).select("grp", "x.*")
     return N.ratios(claimed.where("claim <> 0"), operands, "grp").select("grp", F.col("claim").cast("double").alias("claim"), "decimals")
+
+
+@query(
+    "UDTF1_streamed_pieces",
+    f"""WITH RECURSIVE r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, o_orderpriority) AS n,
+  '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |' AS line, 'Customer ' || o_custkey || chr(10) || '| order | status | priority |' || chr(10) || '| --- | --- | --- |' AS head FROM orders),
+c AS (SELECT *, {estimate_sql("line")} AS cost, 60 - {estimate_sql("head")} AS room FROM r),
+w AS (SELECT o_custkey, n, line, head, 0 AS piece, cost AS used FROM c WHERE n = 1
+  UNION ALL SELECT c.o_custkey, c.n, c.line, c.head, CASE WHEN w.used + c.cost > c.room THEN w.piece + 1 ELSE w.piece END, CASE WHEN w.used + c.cost > c.room THEN c.cost ELSE w.used + c.cost END
+  FROM w JOIN c ON c.o_custkey = w.o_custkey AND c.n = w.n + 1)
+SELECT o_custkey AS key, piece, head || chr(10) || string_agg(line, chr(10) ORDER BY n) AS text FROM w GROUP BY o_custkey, piece, head""",
+)
+def streamed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDTF1 WIN11: customers' orders in Markdown pieces by a table function that is handed each table's rows in order."""
+    from ..operators import chunking as K
+
+    K.register_table_pieces(spark)
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"), F.concat(F.lit("Customer "), "o_custkey").alias("title"), F.array(F.lit("order"), F.lit("status"), F.lit("priority")).alias("header"),
+        F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("cells"), "o_orderkey",
+    )
+    return spark.sql("SELECT * FROM table_pieces(TABLE(SELECT * FROM {rows}) PARTITION BY key ORDER BY (o_orderkey, cells), 60)", rows=rows)
