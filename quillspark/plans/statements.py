@@ -115,16 +115,17 @@ def derived_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.ratios(claimed.where("claim <> 0"), operands, "grp").select("grp", F.col("claim").cast("double").alias("claim"), "decimals")
 
 
-@query(
-    "UDTF1_streamed_pieces",
-    f"""WITH RECURSIVE r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, o_orderpriority) AS n,
+# Orders of each customer as pieces of a table, greedily filled.
+_PIECES_SQL = f"""r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, o_orderpriority) AS n,
   '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |' AS line, 'Customer ' || o_custkey || chr(10) || '| order | status | priority |' || chr(10) || '| --- | --- | --- |' AS head FROM orders),
 c AS (SELECT *, {estimate_sql("line")} AS cost, 60 - {estimate_sql("head")} AS room FROM r),
 w AS (SELECT o_custkey, n, line, head, 0 AS piece, cost AS used FROM c WHERE n = 1
   UNION ALL SELECT c.o_custkey, c.n, c.line, c.head, CASE WHEN w.used + c.cost > c.room THEN w.piece + 1 ELSE w.piece END, CASE WHEN w.used + c.cost > c.room THEN c.cost ELSE w.used + c.cost END
-  FROM w JOIN c ON c.o_custkey = w.o_custkey AND c.n = w.n + 1)
-SELECT o_custkey AS key, piece, head || chr(10) || string_agg(line, chr(10) ORDER BY n) AS text FROM w GROUP BY o_custkey, piece, head""",
-)
+  FROM w JOIN c ON c.o_custkey = w.o_custkey AND c.n = w.n + 1),
+pieces AS (SELECT o_custkey AS key, piece, head || chr(10) || string_agg(line, chr(10) ORDER BY n) AS text FROM w GROUP BY o_custkey, piece, head)"""
+
+
+@query("UDTF1_streamed_pieces", f"WITH RECURSIVE {_PIECES_SQL} SELECT key, piece, text FROM pieces")
 def streamed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDTF1 WIN11: customers' orders in Markdown pieces by a table function that is handed each table's rows in order."""
     from ..operators import chunking as K
@@ -135,3 +136,26 @@ def streamed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("cells"), "o_orderkey",
     )
     return spark.sql("SELECT * FROM table_pieces(TABLE(SELECT * FROM {rows}) PARTITION BY key ORDER BY (o_orderkey, cells), 60)", rows=rows)
+
+
+@query(
+    "WIN7_table_siblings",
+    f"""WITH RECURSIVE {_PIECES_SQL},
+t AS (SELECT key * 1000 + piece AS id, key, piece, {estimate_sql("text")} AS tokens FROM pieces),
+v AS (SELECT key, piece, tokens AS used, TRUE AS taken, id FROM t WHERE piece = 0
+  UNION ALL SELECT t.key, t.piece, CASE WHEN v.used + t.tokens <= 170 THEN v.used + t.tokens ELSE v.used END, v.used + t.tokens <= 170, t.id FROM v JOIN t ON t.key = v.key AND t.piece = v.piece + 1)
+SELECT key, id AS chunk_id, CAST(row_number() OVER (PARTITION BY key ORDER BY piece) AS BIGINT) AS place FROM v WHERE taken""",
+)
+def siblings_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN7 UDF5 JN5: the first piece of every customer's table, and of its other pieces (same table by document, page, title and
+    header) those that fit the room left of 170 tokens, in order."""
+    from ..functions.text import token_estimate
+    from ..operators import retrieval as R
+    from ..tables import saved
+
+    pieces = saved(streamed_pieces(spark, sf_dir))
+    chunks = pieces.select((F.col("key") * 1000 + F.col("piece")).alias("chunk_id"), F.col("key").alias("doc_id"), F.lit(1).alias("page"), F.lit("table").alias("source_kind"), "text", "piece")
+    sized = chunks.select("chunk_id", token_estimate(F.col("text")).alias("tokens"))
+    kept = chunks.where("piece = 0").join(sized, "chunk_id").select(F.col("doc_id").alias("key"), "chunk_id", F.lit(1).alias("rank"), "tokens")
+    siblings = R.table_siblings(chunks.drop("piece")).join(sized.select(F.col("chunk_id").alias("sibling_id"), F.col("tokens").alias("sibling_tokens")), "sibling_id")
+    return R.with_siblings(kept, siblings, "key", "chunk_id", 170).select("key", "chunk_id", F.col("place").cast("long").alias("place"))
