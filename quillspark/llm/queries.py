@@ -136,4 +136,28 @@ SELECT doc_id, item_id, CAST(shift AS BIGINT) AS doc_word, CAST(agreeing AS BIGI
 FROM ranked WHERE r = 1 AND agreeing >= least_agreeing
 """
 
-ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL}
+_LONGEST, _FREQUENT = phrases.LONGEST, phrases.LEAST
+#: Plain counting of all phrases; unary paths by recursion from their first edges.
+OP11_SQL = rf"""
+WITH RECURSIVE t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, ws, unnest(range(len(ws) - size + 1)) AS i FROM w, (SELECT unnest(range(1, {_LONGEST + 1})) AS size) WHERE len(ws) >= size),
+f AS (SELECT lang, size, array_to_string(ws[i + 1:i + size], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {_FREQUENT}),
+part AS (SELECT *, string_split(phrase, ' ') AS ps FROM f),
+cut AS (SELECT lang, phrase, size, a, k, array_to_string(ps[1:k], ' ') AS first_part, array_to_string(ps[k + 1:size], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM part WHERE size > 1)),
+scored AS (SELECT cut.lang, cut.phrase, cut.size, cut.a, n, k, x.a AS l, y.a AS r, (CAST(1000 AS HUGEINT) * cut.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first_part JOIN f y ON y.lang = cut.lang AND y.phrase = rest JOIN total ON total.lang = cut.lang),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ps[1:size - 1], ' '), array_to_string(ps[2:size], ' ')]) AS phrase FROM part WHERE size > 2) GROUP BY lang, phrase),
+ranked AS (SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, low.a DESC, low.phrase) AS rank FROM low LEFT JOIN around USING (lang, phrase) WHERE most IS NULL OR most < low.a),
+step AS (SELECT e.lang, e.phrase AS edge, x.phrase AS onward FROM part e JOIN part v ON v.lang = e.lang AND v.size = {_LONGEST - 1} AND v.a = e.a AND v.ps = e.ps[2:{_LONGEST}]
+  JOIN part x ON x.lang = e.lang AND x.size = {_LONGEST} AND x.a = v.a AND x.ps[1:{_LONGEST - 1}] = v.ps WHERE e.size = {_LONGEST}),
+chain AS (SELECT lang, edge AS head, edge, 1 AS i FROM step WHERE (lang, edge) NOT IN (SELECT (lang, onward) FROM step)
+  UNION ALL SELECT chain.lang, head, onward, i + 1 FROM chain JOIN step ON step.lang = chain.lang AND step.edge = chain.edge),
+path AS (SELECT lang, edge AS phrase, max(i) OVER (PARTITION BY lang, head) + {_LONGEST - 1} AS path_words FROM chain)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score, CAST(coalesce(path_words, size) AS BIGINT) AS path_words
+FROM ranked LEFT JOIN path USING (lang, phrase) WHERE rank <= {phrases.TOP}
+"""
+
+ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL, "op11_phrase_collocations": OP11_SQL}
