@@ -26,7 +26,7 @@ from .common import bounded_sample, text_of
 SAMPLE, LINES, LEXICON = 3_000, 4_000, 20_000
 BUCKETS, SIZES, LONGEST_TRAINED = 1 << 15, (1, 2, 3, 4), 60
 #: Words whose emissions a worker remembers (twice as many at most).
-REMEMBERED = 60_000
+REMEMBERED = 30_000
 
 _PUNCTUATION = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or b in b" \t\n\r\x0b\x0c"))
 _LETTER = re.compile(r"[^\W\d_]")

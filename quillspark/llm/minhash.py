@@ -45,7 +45,7 @@ BIN_BITS = 10
 #: Pairs that are checked in one task group, about; rows of a small key table that may be broadcast.
 CELL_PAIRS, SMALL_ROWS = 2_000, 1_000_000
 #: Distinct words whose hashes a task remembers (twice as many at most).
-REMEMBERED = 100_000
+REMEMBERED = 30_000
 
 _ODD = np.random.RandomState(20240).randint(1, 2**62, SYMBOLS + WORDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)

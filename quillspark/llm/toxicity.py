@@ -37,7 +37,7 @@ PURE = 0.6
 DECAY, SPAN, LONGEST, STRIDE = 0.6, 8, 10, 2
 LETTERS = 64
 #: Fragments whose scores a worker remembers (twice as many at most).
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 
 _PUNCTUATION = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or b in b" \t\n\r\x0b\x0c"))
 _RUNS = re.compile(rb"(?<![^\s])[a-z0-9](?:\s[a-z0-9]){3,}(?![^\s])")
