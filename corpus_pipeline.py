@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, langid, minhash, packing, toxicity
-from quillspark.llm.common import crc_bucket, saved
+from quillspark.llm.common import bounded_batches, crc_bucket, saved
 
 #: Texts whose words are placed in a learned language with less than this probability, on average, are rejected.
 LEAST_SURE = 0.5
@@ -26,6 +26,7 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents of toxicity 0.5 or more. Null and empty texts score like clean ones."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(crc_bucket("doc_id", 5) != 0))
     name = _fresh(docs, "toxicity")
@@ -37,6 +38,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A document of clear words stays, however many languages it mixes. When no document has a language to learn from, nothing can be judged and all stay.
     """
+    bounded_batches(spark)
     model = langid.train(docs.where(crc_bucket("doc_id", 3) != 1))
     if not model["langs"]:
         return docs
@@ -47,6 +49,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id."""
+    bounded_batches(spark)
     return minhash.without_near_duplicates(docs)
 
 
@@ -62,6 +65,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The remaining documents, packed into sequences of at most 4096 ids."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

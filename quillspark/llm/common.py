@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import saved
 
-__all__ = ["WORD_BYTES", "bounded_sample", "crc_bucket", "saved", "text_of"]
+__all__ = ["WORD_BYTES", "bounded_batches", "bounded_sample", "crc_bucket", "saved", "text_of"]
 
 #: Bytes to bytes: A-Z lower-cased, every other ASCII byte but digits and a-z to a blank. Bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(
@@ -25,6 +25,17 @@ def crc_bucket(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Let a batch that goes to Python hold about `megabytes` of rows from now on, unless the session bounds it lower.
+
+    Whole texts otherwise go 10,000 rows (up to 64 MB) at a time, which a task holds in the JVM, in transfer and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark.conf.get(name, "-1").rstrip("b"))
+    if not 0 < held <= megabytes << 20:
+        spark.conf.set(name, str(megabytes << 20))
+
+
 def bounded_sample(frame: DataFrame, key: str, bound: int, seed: int = 17) -> DataFrame:
     """About `bound` rows at most, chosen by a hash of `key` alone; all rows when there are no more than `bound`."""
     total = frame.count()

@@ -44,6 +44,8 @@ NEAREST, ROUNDS, WORTHWHILE = 3, 6, 0.02
 BIN_BITS = 10
 #: Pairs that are checked in one task group, about; rows of a small key table that may be broadcast.
 CELL_PAIRS, SMALL_ROWS = 2_000, 1_000_000
+#: Pairs whose bins are compared at a time, 1 << BIN_BITS bytes a side each.
+BIN_PAIRS = 2_048
 #: Distinct words whose hashes a task remembers (twice as many at most).
 REMEMBERED = 30_000
 
@@ -185,9 +187,14 @@ def groups_of(reps: DataFrame) -> DataFrame:
 
 def could_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, bins: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs may be similar enough: sets share at most the sum over bins of the smaller count."""
-    most = np.minimum(bins[i], bins[j]).sum(axis=1, dtype=np.int64)
-    full = (bins[i] == 255).any(axis=1) & (bins[j] == 255).any(axis=1)  # 255 stands for 255 or more
-    most = np.where(full, np.minimum(n[i], n[j]), np.minimum(most, np.minimum(n[i], n[j])))
+    most, full = np.empty(len(i), np.int64), np.empty(len(i), bool)
+    for at in range(0, len(i), BIN_PAIRS):
+        part = slice(at, at + BIN_PAIRS)
+        left, right = bins[i[part]], bins[j[part]]
+        most[part] = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+        full[part] = (left == 255).any(axis=1) & (right == 255).any(axis=1)  # 255 stands for 255 or more
+    fewer = np.minimum(n[i], n[j])
+    most = np.where(full, fewer, np.minimum(most, fewer))
     return most * 100 >= percent * (n[i] + n[j] - most)
 
 
