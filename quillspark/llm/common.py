@@ -26,14 +26,11 @@ def crc_bucket(column: str, modulus: int) -> Column:
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
-    """Let a batch that goes to Python hold about `megabytes` of rows from now on, unless the session bounds it lower.
+    """Let a batch that goes to Python hold about `megabytes` of rows from now on (a setting of the session).
 
     Whole texts otherwise go 10,000 rows (up to 64 MB) at a time, which a task holds in the JVM, in transfer and in Python.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = int(spark.conf.get(name, "-1").rstrip("b"))
-    if not 0 < held <= megabytes << 20:
-        spark.conf.set(name, str(megabytes << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 def bounded_sample(frame: DataFrame, key: str, bound: int, seed: int = 17) -> DataFrame:
