@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that keyword search leaves out.
 STOP_WORDS = (
@@ -31,6 +35,33 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+# Words of amounts before which a backtick stands for a rupee sign.
+RUPEE_UNITS = ("million", "crore", "lakh", "billion", "thousand")
+#: A backtick before a single digit (of `3,124`, too), an opened amount, a word of amounts or "in", or between "in" and ")".
+_RUPEE = "(?iU)" + "|".join([
+    rf"`(?=\s?(?:\d(?!\w)|\((?=\w)|(?:{'|'.join(RUPEE_UNITS)})(?!\w)))",
+    r"`(?=\sin(?!\w))",
+    r"(?<=\bin\s)`(?=\))",
+])
+
+
+def rupee_signs(text: Column) -> Column:
+    """Backticks that a font has put for a rupee sign as that sign; others stay."""
+    return F.regexp_replace(text, _RUPEE, "₹")
+
+
+@F.pandas_udf(T.StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def clean_lines(text: Column) -> Column:
+    """A text's lines without empty ones: compatibility forms folded (NFKC, which Spark has no function for; Arrow batches), white
+    space collapsed, rupee signs restored. Null gives null."""
+    lines = F.transform(F.split(_compatible(text), "\n"), lambda line: rupee_signs(F.regexp_replace(F.regexp_replace(line, r"(?U)\s+", " "), "^ | $", "")))
+    return F.filter(lines, lambda line: line != "")
+
+
 def line_key(line: Column) -> Column:
     """What repeated page edges share: lower case, digits as '#', single blanks."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "#"), r"\s+", " "))

@@ -1,10 +1,11 @@
-"""Queries that mark an answer's figures in what it cites."""
+"""Queries that clean lines and mark an answer's figures in what it cites."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators.answers import primary_citation
 from ..operators.highlights import highlight_terms
 from ..session import table
@@ -52,3 +53,15 @@ def cited_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN16: the citation with most highlight terms, the first on ties; an answer without any has none."""
     best = primary_citation(_highlighted(spark, sf_dir), "l_orderkey", "terms", "l_linenumber").where("n_terms > 0")
     return best.select("l_orderkey", F.col("primary").alias("primary_line"), "n_terms")
+
+
+@query("STR4_folded_lines")
+def folded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR4: every document's lines, folded and cleaned: how many there are, their letters, and a hash of all of them.
+
+    DuckDB has no NFKC; a test compares all documents with a plain version.
+    """
+    lines = X.clean_lines(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
+    joined = F.array_join("lines", "\n")
+    return rows.select("doc_id", F.size("lines").alias("n_lines"), F.length(joined).alias("n_letters"), F.sha2(joined, 256).alias("lines_sha256"))
