@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, licenses, packing, sharding, tokens, toxicity, urls
+from quillspark.llm import langid, licenses, minhash, packing, sharding, tokens, toxicity, urls
 from quillspark.llm.common import crc_bucket
 
 from .test_llm_operators import docs, prose
@@ -227,3 +227,17 @@ def test_packing_of_repeated_rows_and_empty_tables(spark):
     assert packing.pack(frame.limit(0), path).count() == 0
     long = packing.pack(docs(spark, ["word " * 20_000, prose(random.Random(1), 10)]), path)
     assert long.where("doc_id = 0").agg(F.sum("length"), F.max("doc_tokens")).first()[:] == (20_001, 20_001)
+
+
+def test_bins_in_slices_rule_out_what_all_at_once_do():
+    rng = np.random.RandomState(0)
+    bins = rng.randint(0, 2, (300, 1 << minhash.BIN_BITS)).astype(np.uint8)
+    bins[rng.randint(0, 300, 40), rng.randint(0, 1 << minhash.BIN_BITS, 40)] = 255
+    n = bins.sum(axis=1).astype(np.int64)
+    i, j = rng.randint(0, 300, 9_000), rng.randint(0, 300, 9_000)
+    fewer, most = np.minimum(n[i], n[j]), np.minimum(bins[i], bins[j]).sum(axis=1, dtype=np.int64)
+    full = (bins[i] == 255).any(axis=1) & (bins[j] == 255).any(axis=1)
+    most = np.where(full, fewer, np.minimum(most, fewer))
+    wanted = most * 100 >= 40 * (n[i] + n[j] - most)
+    assert 0 < wanted.sum() < len(wanted) and (minhash.could_link(i, j, n, bins, 40) == wanted).all()
+    assert minhash.could_link(i[:0], j[:0], n, bins, 75).shape == (0,)
