@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a minimal acyclic transducer lexicon.
 
-1. Fit: words are counted on a bounded sample of documents; the most frequent ones are compiled, with the ids that the
+1. Fit: the words of all documents are counted; the most frequent ones are compiled, with the ids that the
    merges give them, into the smallest acyclic automaton that accepts just these words: equal endings share their
    states. Every transition carries a number, and the numbers on a word's path add up to the word's place in the
    table of id outputs.
@@ -9,7 +9,7 @@
 3. Encode: a text is cut into words as the tokenizer file says. A word's ids come from the automaton, or, for a word that
    it does not hold, from merging its bytes by rank. Decoding looks up every id's token.
 
-The sample only decides which words are looked up rather than merged: ids are the same with any lexicon.
+The counts only decide which words are looked up rather than merged: ids are the same with any lexicon.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import shared_dir
-from .common import bounded_sample, text_of
+from ..tables import saved, shared_dir
+from .common import text_of
 from .wordparts import LATIN_PARTS, NOT_LATIN, added_tokens, byte_letters, cuts_words, spec_of
 
-#: Documents that the lexicon is fitted on and words that it holds, at most.
-SAMPLE, WORDS = 20_000, 100_000
+#: Words that the lexicon holds, at most, and words that a task counts before it hands their counts on.
+WORDS, COUNTED = 100_000, 200_000
 #: Words whose ids a worker remembers (twice as many at most), documents and characters handled at a time.
 REMEMBERED, ROWS, CHARACTERS = 250_000, 256, 4_000_000
+#: Bits of an id within a number that holds two, the mask of the second, and a number above all pairs' ranks.
+BITS, MADE, NEVER = 24, (1 << 24) - 1, 1 << 62
 #: The automaton file: a mark, five counts, then the arrays in this order.
 MARK = 0x4C455831
 LAYOUT = (("keys", "<i8", 0), ("values", "<i8", 2), ("targets", "<i4", 0), ("numbers", "<i4", 0), ("offsets", "<i4", 2), ("final", "u1", 1))
@@ -130,6 +132,14 @@ class Lexicon:
     def outputs(self, place: int) -> list[int]:
         return self.values[self.offsets[place] : self.offsets[place + 1]].tolist()
 
+    def coded(self, places: np.ndarray) -> list[bytes]:
+        """The outputs at all these places, each as little-endian 32-bit ids."""
+        low = self.offsets[places].astype(np.int64)
+        sizes = self.offsets[places + 1] - low
+        ends = np.cumsum(sizes)
+        flat = self.values[np.repeat(low - ends + sizes, sizes) + np.arange(sizes.sum())].astype("<i4").tobytes()
+        return [flat[a:b] for a, b in zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist())]
+
 
 class Merges:
     """A tokenizer file's vocabulary and merges: a word's bytes to ids, ids to tokens."""
@@ -140,10 +150,11 @@ class Merges:
         if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("only plain BPE files are supported")
         vocab, self.letters, end = model["vocab"], byte_letters(), model.get("end_of_word_suffix") or ""
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        # a pair's ids as one number: its rank and the id that it makes as one number
+        self.ranks: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.ranks.setdefault(vocab[left] << BITS | vocab[right], rank << BITS | vocab[left + right])
         self.first = [vocab[x] for x in self.letters]
         self.last = [vocab[x + end] for x in self.letters]
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in added_tokens(spec).items()}
@@ -157,36 +168,34 @@ class Merges:
 
     def _short(self, ids: list[int]) -> list[int]:
         find = self.ranks.get
-        pairs = [find(p) for p in zip(ids, ids[1:])]
-        while True:
-            low = min((p for p in pairs if p), default=None)
-            if low is None:
-                return ids
-            at = pairs.index(low)
-            ids[at : at + 2] = [low[1]]
-            del pairs[at]
+        pairs = [find(a << BITS | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while pairs and (low := min(pairs)) != NEVER:
+            at, made = pairs.index(low), low & MADE
+            ids[at] = made
+            del ids[at + 1], pairs[at]
             if at:
-                pairs[at - 1] = find((ids[at - 1], ids[at]))
+                pairs[at - 1] = find(ids[at - 1] << BITS | made, NEVER)
             if at < len(pairs):
-                pairs[at] = find((ids[at], ids[at + 1]))
+                pairs[at] = find(made << BITS | ids[at + 1], NEVER)
+        return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap of pairs and a linked list, for words of any length."""
         n, find = len(ids), self.ranks.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*pair, at) for at, key in enumerate(zip(ids, ids[1:])) if (pair := find(key))]
+        heap = [(pair, at) for at, (a, b) in enumerate(zip(ids, ids[1:])) if (pair := find(a << BITS | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, made, at = heapq.heappop(heap)
+            pair, at = heapq.heappop(heap)
             right = after[at]
-            if ids[at] < 0 or right < 0 or find((ids[at], ids[right])) != (rank, made):
+            if ids[at] < 0 or right < 0 or find(ids[at] << BITS | ids[right]) != pair:
                 continue
-            ids[at], ids[right], after[at] = made, -1, after[right]
+            ids[at], ids[right], after[at] = pair & MADE, -1, after[right]
             if after[at] >= 0:
                 before[after[at]] = at
             for left in (before[at], at):
-                if left >= 0 and after[left] >= 0 and (pair := find((ids[left], ids[after[left]]))):
-                    heapq.heappush(heap, (*pair, left))
+                if left >= 0 and after[left] >= 0 and (pair := find(ids[left] << BITS | ids[after[left]])) is not None:
+                    heapq.heappush(heap, (pair, left))
         return [i for i in ids if i >= 0]
 
 
@@ -253,16 +262,18 @@ class Encoder:
             else:
                 fresh.append(word)
         raw = [w.encode("utf-8") for w in fresh]
-        places = self.lexicon.places(raw).tolist() if self.lexicon else [-1] * len(raw)
-        for word, some, place in zip(fresh, raw, places):
-            ids = self.merges(some) if place < 0 else self.lexicon.outputs(place)
-            self.known[word] = np.array(ids, "<i4").tobytes()
+        places = self.lexicon.places(raw) if self.lexicon else np.full(len(raw), -1)
+        held = np.flatnonzero(places >= 0)
+        if len(held):
+            self.known.update(zip(map(fresh.__getitem__, held.tolist()), self.lexicon.coded(places[held])))
+        for at in np.flatnonzero(places < 0).tolist():
+            self.known[fresh[at]] = np.array(self.merges(raw[at]), "<i4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        unseen = [w for w in set().union(*cut) if w not in self.known]
+        unseen = list(set().union(*cut).difference(self.known))
         if unseen:
             self._learn(unseen)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in cut]
@@ -279,27 +290,44 @@ class Decoder:
             self.decoder = Tokenizer.from_file(path).decoder
 
     def __call__(self, ids: np.ndarray) -> str:
-        tokens = [t for i in ids.tolist() if (t := self.tokens.get(i)) is not None]
+        ids = ids.tolist()
+        try:
+            tokens = list(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            tokens = [self.tokens[i] for i in ids if i in self.tokens]
         return " ".join(tokens) if self.decoder is None else self.decoder.decode(tokens)
 
 
-def fit_lexicon(
-    documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, words: int = WORDS,
-) -> bytes:
-    """The automaton file of the `words` most frequent words (ties by byte order) of about `sample` documents."""
+def fit_lexicon(documents: DataFrame, tokenizer: str, text_col: str = "text", words: int = WORDS) -> bytes:
+    """The automaton file of the `words` most frequent words (ties by byte order) of all documents."""
+
+    def counts_of(found: Counter) -> pa.RecordBatch:
+        kept = [(w, n) for w, n in found.items() if isinstance(w, str)]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
     def counted(batches):
-        cut = cutter_of(tokenizer)
+        cut, found = cutter_of(tokenizer), Counter()
         for batch in batches:
-            found: Counter = Counter()
             for text in batch.column(0):
-                found.update(w for w in cut(text.as_py()) if isinstance(w, str))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    chosen = bounded_sample(documents, id_col, sample).select(text_of(text_col).alias("text"))
-    counts = chosen.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                found.update(cut(text.as_py()))
+                if len(found) > COUNTED:
+                    yield counts_of(found)
+                    found = Counter()
+        yield counts_of(found)
+
+    texts = documents.select(text_of(text_col).alias("text"))
+    counts = saved(texts.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # how many words have each count: those above `least` all fit, of those that have it only the first
+    least, room = 0, words
+    for r in counts.groupBy("n").agg(F.count("*").alias("held")).orderBy(F.desc("n")).collect():
+        if r["held"] > room:
+            least = r["n"]
+            break
+        room -= r["held"]
+    top = counts.where(F.col("n") > least).select("word").collect()  # `words` at most
+    if least and room:
+        top += counts.where(F.col("n") == least).select("word").orderBy("word").limit(room).collect()
     merge = merges_of(tokenizer)
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()  # `words` at most
     return compile_lexicon({(raw := r["word"].encode("utf-8")): merge(raw) for r in top})
 
 

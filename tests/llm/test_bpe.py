@@ -92,6 +92,24 @@ def test_encode_equals_the_library(spark):
     assert bpe.publish(spark, bpe.fit_lexicon(frame.limit(0), PATH))
 
 
+def test_lexicon_counts_all_documents(spark, tmp_path):
+    """The most frequent words of all rows, more of them than any sample was made of; ties by byte order."""
+    from pyspark.sql import functions as F
+
+    def word(i):
+        return F.translate(F.format_string("q%05d", i), "0123456789", "abcdefghij")
+
+    rows = spark.range(30_000).select(F.when(F.col("id") > 9, F.concat_ws(" ", F.lit("the"), word(F.col("id").cast("int")), word(F.floor(F.col("id") / 2).cast("int")))).alias("text"))
+    name = lambda i: ("q" + "".join("abcdefghij"[int(x)] for x in f"{i:05d}")).encode()
+    file = tmp_path / "lexicon.bin"
+    file.write_bytes(bpe.fit_lexicon(rows.withColumn("doc_id", F.monotonically_increasing_id()), PATH, words=20_000))
+    lexicon = bpe.Lexicon(str(file))
+    # the + 15,000 words of three rows (ten and over) or two (five to nine), then the first of those of one row
+    often, once = [b"the", *(name(i) for i in range(5, 15_000))], [name(i) for i in range(15_000, 30_000)]
+    assert (lexicon.places(often) >= 0).all()
+    assert [p >= 0 for p in lexicon.places(once).tolist()] == [i < 20_000 - len(often) for i in range(len(once))]
+
+
 def test_other_files(spark):
     """A byte-level file with a decoder: the round trip gives the text back."""
     from tokenizers import Tokenizer
