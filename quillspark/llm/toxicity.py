@@ -100,15 +100,43 @@ def _features(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def by_length(words: list[bytes]):
     """(indexes of words, code rows) of equal length, at most 2000 rows at a time; a long word has several rows."""
-    held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-    for at, word in enumerate(words):
-        for codes in _windows(letters(word.decode("utf-8", "replace"))):
-            owners, rows = held.setdefault(len(codes), ([], []))
-            owners.append(at)
-            rows.append(codes)
-    for owners, rows in held.values():
+    plain = [w.decode("utf-8", "replace") for w in words]
+    sizes = np.fromiter(map(len, plain), np.int64, len(plain)) + 2
+    starts = np.cumsum(sizes) - sizes
+    # all words between their marks, one after the other
+    marked, inner = np.zeros(sizes.sum(), np.uint8), np.ones(sizes.sum(), bool)
+    inner[starts] = inner[starts + sizes - 1] = False
+    marked[starts + sizes - 1] = LETTERS - 1
+    marked[inner] = _code_table()[np.frombuffer("".join(plain).encode("utf-32-le"), "<u4") % 0x3000]
+    # the windows that _windows gives
+    widths = np.minimum(sizes, LONGEST)
+    shares = -((widths - sizes) // STRIDE) + 1
+    owners = np.repeat(np.arange(len(words)), shares)
+    nth = np.arange(len(owners)) - np.repeat(np.cumsum(shares) - shares, shares)
+    at = starts[owners] + np.minimum(nth * STRIDE, (sizes - widths)[owners])
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths[owners] == width)
         for low in range(0, len(rows), 2000):
-            yield np.array(owners[low : low + 2000]), np.stack(rows[low : low + 2000])
+            some = rows[low : low + 2000]
+            yield owners[some], marked[at[some][:, None] + np.arange(width)].astype(np.int64)
+
+
+@lru_cache(maxsize=1 << 14)
+def _norm(width: int, pattern: int) -> float:
+    """The kernel norm of the rows with this pattern: four bits a letter, the first place of an equal one."""
+    return float(_features(np.array([[pattern >> 4 * at & 15 for at in range(width)]]))[2][0])
+
+
+def _norms(columns: np.ndarray) -> np.ndarray:
+    """Each row's kernel norm, rows as columns. It depends on which letters of a row are equal, so it is found once a pattern."""
+    patterns = np.zeros(columns.shape[1], np.int64)
+    for at, letter in enumerate(columns):
+        first = np.full(len(letter), at, np.int64)
+        for before in range(at - 1, -1, -1):
+            first[columns[before] == letter] = before
+        patterns |= first << 4 * at
+    found, rows = np.unique(patterns, return_inverse=True)
+    return np.array([_norm(len(columns), p) for p in found.tolist()])[rows]
 
 
 def word_scores(words: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
@@ -118,8 +146,10 @@ def word_scores(words: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
         if rows.shape[1] < 3:
             values = np.full(len(rows), bias)
         else:
-            codes, weights, norms = _features(rows)
-            values = (table[codes] * weights).sum(axis=1) / norms + bias
+            i, j, k, w = _triples(rows.shape[1])
+            columns = np.ascontiguousarray(rows.T, np.int32)
+            codes = (columns[i] * LETTERS + columns[j]) * LETTERS + columns[k]
+            values = (table[codes] * w[:, None]).sum(axis=0) / _norms(columns) + bias
         np.maximum.at(out, owners, values)
     return out
 
