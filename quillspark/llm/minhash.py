@@ -44,6 +44,8 @@ NEAREST, ROUNDS, WORTHWHILE = 3, 6, 0.02
 BIN_BITS = 10
 #: Pairs that are checked in one task group, about; rows of a small key table that may be broadcast.
 CELL_PAIRS, SMALL_ROWS = 2_000, 1_000_000
+#: Signatures whose keys are made in one task, about: what a task adds up by key stays small.
+KEYED_ROWS = 4_000
 #: Pairs whose bins are compared at a time, 1 << BIN_BITS bytes a side each.
 BIN_PAIRS = 2_048
 #: Distinct words whose hashes a task remembers (twice as many at most).
@@ -156,7 +158,8 @@ def _sigs(column: pd.Series) -> np.ndarray:
 
 
 def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep) for every key of every signature."""
+    """(key, rep) for every key of every signature, those of about KEYED_ROWS signatures a task."""
+    cells = max(1, -(-reps.count() // KEYED_ROWS))
 
     def run(batches):
         for batch in batches:
@@ -165,7 +168,7 @@ def index_keys(reps: DataFrame) -> DataFrame:
                 keys = _chunk_keys(_sigs(part["sig"]))
                 yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(part["rep"].values, SYMBOLS)})
 
-    return reps.select("rep", "sig").mapInPandas(run, "key long, rep long")
+    return reps.select("rep", "sig").repartition(cells, "rep").mapInPandas(run, "key long, rep long")
 
 
 def small(frame: DataFrame) -> DataFrame:

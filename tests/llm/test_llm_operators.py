@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,6 +138,17 @@ def test_large_groups_are_dealt_in_small_task_groups(spark, monkeypatch, task_gr
     assert some < everything and task_groups.pop()[0] == len(texts)
 
 
+def test_signature_keys_are_made_by_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "KEYED_ROWS", 50)
+    sigs = np.random.RandomState(8).randint(0, 65536, (1000, minhash.SYMBOLS)).astype("<u2")
+    reps = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "rep long, sig binary").coalesce(1)
+    rows = minhash.index_keys(reps).withColumn("task", F.spark_partition_id()).collect()
+    tasks = Counter(r["task"] for r in rows)
+    assert len(tasks) >= 15 and max(tasks.values()) <= 100 * minhash.SYMBOLS
+    expected = minhash._chunk_keys(sigs)
+    assert len(rows) == expected.size and {(r["key"], r["rep"]) for r in rows} == {(int(k), i) for i, keys in enumerate(expected) for k in keys}
+
+
 def test_units_of_two_blocks_lose_no_pair():
     rng = np.random.RandomState(3)
     sigs = np.tile(rng.randint(0, 65536, minhash.SYMBOLS).astype("<u2"), (40, 1))
