@@ -25,6 +25,8 @@ from .common import bounded_sample, text_of
 
 SAMPLE, LINES, LEXICON = 3_000, 4_000, 20_000
 BUCKETS, SIZES, LONGEST_TRAINED = 1 << 15, (1, 2, 3, 4), 60
+#: Neighbouring words whose transitions are added up at a time.
+PAIRS = 10_000
 #: Words whose emissions a worker remembers (twice as many at most).
 REMEMBERED = 30_000
 
@@ -97,7 +99,27 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[
         after = (scores[at + 1] * backward[at + 1]) @ step.T
         backward[at] = after / after.sum(axis=1, keepdims=True)
     both = forward * backward
-    return both / both.sum(axis=1, keepdims=True), scale, forward, backward, scores
+    both /= both.sum(axis=1, keepdims=True)
+    return both, scale, forward, backward, scores
+
+
+def _sums(wide: np.ndarray, columns: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """The summed n-gram weights of each word."""
+    per_place = wide[columns[0]]
+    for b in columns[1:]:
+        per_place += wide[b]
+    return np.add.reduceat(per_place, starts, axis=0)
+
+
+def _moved(forward: np.ndarray, backward: np.ndarray, scores: np.ndarray, move: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Expected transitions to the words at `place` from those before, added up PAIRS at a time in the order of words."""
+    step, total = np.exp(move)[None], np.zeros((1, *move.shape))
+    for low in range(0, len(place), PAIRS):
+        at = place[low : low + PAIRS]
+        pair = forward[at - 1][:, :, None] * step * (scores[at] * backward[at])[:, None, :]
+        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        total = np.concatenate([total, pair]).sum(axis=0, keepdims=True)
+    return total[0]
 
 
 def _fit(chains: list[list[int]], labels: list[np.ndarray], words: list[bytes], known: np.ndarray, n_langs: int, chain: bool, rounds: int):
@@ -118,21 +140,17 @@ def _fit(chains: list[list[int]], labels: list[np.ndarray], words: list[bytes],
     np.add.at(gold_moves, (gold[place - 1], gold[place]), 1)
     for step in range(1, rounds + 1):
         wide = np.vstack([w, np.zeros((1, n_langs))])
-        per_place = sum(wide[b] for b, _ in flat)
-        emission = np.add.reduceat(per_place, starts, axis=0) + scale * known + bias
-        post, total, forward, backward, scores = marginals(emission[ids], lengths, move)
-        gap = post - one
+        emission = _sums(wide, [b for b, _ in flat], starts) + scale * known + bias
+        gap, _, forward, backward, scores = marginals(emission[ids], lengths, move)
+        gm = _moved(forward, backward, scores, move, place) - gold_moves if chain and len(place) else np.zeros_like(move)
+        del forward, backward, scores
+        gap -= one
         per_word = np.column_stack([np.bincount(ids, gap[:, k], len(words)) for k in range(n_langs)])
         gw = np.zeros_like(w)
-        at_place = per_word[owner]
-        for b, ok in flat:
-            for k in range(n_langs):
-                gw[:, k] += np.bincount(b[ok], at_place[ok, k], BUCKETS)
-        gm = np.zeros_like(move)
-        if chain and len(place):
-            pair = forward[place - 1][:, :, None] * np.exp(move)[None] * (scores[place] * backward[place])[:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            gm = pair.sum(axis=0) - gold_moves
+        for k in range(n_langs):
+            at_place = per_word[owner, k]
+            for b, ok in flat:
+                gw[:, k] += np.bincount(b[ok], at_place[ok], BUCKETS)
         grads = (gw / len(ids) + 1e-6 * w, gap.mean(axis=0), gm / len(ids), np.array([(gap * known[ids]).sum() / len(ids)]))
         moves = []
         for (m, v), g in zip(state, grads):
@@ -182,7 +200,9 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sample.unpersist()
     index: dict[bytes, int] = {}
     chains = [[index.setdefault(bytes(w), len(index)) for w in r["chain"]] for r in rows]
-    labels = [np.full(len(c), langs.index(r["lang"])) for c, r in zip(chains, rows)]
+    spoken = [langs.index(r["lang"]) for r in rows]
+    del rows
+    labels = [np.full(len(c), lang) for c, lang in zip(chains, spoken)]
     words = list(index)
     none = np.zeros(len(langs), np.float32)
     known = np.array([lexicon.get(w, none) for w in words], float)
@@ -198,8 +218,8 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         flat = np.concatenate(labels)
         labels = np.split(np.where(post.max(axis=1) > 0.9, post.argmax(axis=1), flat), np.cumsum(lengths)[:-1])
         # switches: lines of different languages in one chain
-        for i in range(0, len(rows) - 1, 4):
-            if rows[i]["lang"] != rows[i + 1]["lang"]:
+        for i in range(0, len(spoken) - 1, 4):
+            if spoken[i] != spoken[i + 1]:
                 chains.append(chains[i][:20] + chains[i + 1][:20])
                 labels.append(np.concatenate([labels[i][:20], labels[i + 1][:20]]))
     w, scale, bias, move = _fit(chains, labels, words, known, n, chain=True, rounds=40)

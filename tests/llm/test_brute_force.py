@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -241,3 +242,26 @@ def test_bins_in_slices_rule_out_what_all_at_once_do():
     wanted = most * 100 >= 40 * (n[i] + n[j] - most)
     assert 0 < wanted.sum() < len(wanted) and (minhash.could_link(i, j, n, bins, 40) == wanted).all()
     assert minhash.could_link(i[:0], j[:0], n, bins, 75).shape == (0,)
+
+
+def test_language_fit_holds_few_arrays_of_its_words():
+    """The driver's memory: about a dozen arrays of words x languages, whichever the number of transitions."""
+    rng = np.random.RandomState(3)
+    words = sorted({bytes(rng.randint(97, 123, rng.randint(2, 10)).astype(np.uint8)) for _ in range(3000)})
+    chains = [rng.randint(0, len(words), 50).tolist() for _ in range(3000)]
+    labels = [np.full(50, i % 4) for i in range(len(chains))]
+    tracemalloc.start()
+    langid._fit(chains, labels, words, rng.rand(len(words), 4), 4, chain=True, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 15 * sum(map(len, chains)) * 4 * 8
+
+
+def test_expected_transitions_are_the_same_in_slices(monkeypatch):
+    rng = np.random.RandomState(6)
+    lengths, move = np.array([9, 1, 14, 6]), rng.rand(3, 3)
+    _, _, forward, backward, scores = langid.marginals(rng.rand(30, 3), lengths, move)
+    place = np.setdiff1d(np.arange(30), np.cumsum(lengths) - lengths)
+    whole = langid._moved(forward, backward, scores, move, place)
+    monkeypatch.setattr(langid, "PAIRS", 4)
+    assert (langid._moved(forward, backward, scores, move, place) == whole).all() and abs(whole.sum() - len(place)) < 1e-9
