@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, text_of
+from .common import bounded_sample, text_of, tidy
 
 SAMPLE, LINES, LEXICON = 3_000, 4_000, 20_000
 BUCKETS, SIZES, LONGEST_TRAINED = 1 << 15, (1, 2, 3, 4), 60
@@ -274,6 +274,7 @@ def predict(
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType())])
 
     @F.pandas_udf(kind)
+    @tidy("langid")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
         for texts in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import saved, text_of, tidy
 from .components import components
 
 SYMBOLS, ERRORS, CHUNKS, WORDS = 128, 51, 27, 5
@@ -121,6 +121,7 @@ def sketch(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, n (set size), f1 and f2 (the set's fingerprint with n), sig (null for an empty set)."""
     kind = dict(frame.dtypes)[id_col]
 
+    @tidy("minhash")
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
@@ -161,6 +162,7 @@ def index_keys(reps: DataFrame) -> DataFrame:
     """(key, rep) for every key of every signature, those of about KEYED_ROWS signatures a task."""
     cells = max(1, -(-reps.count() // KEYED_ROWS))
 
+    @tidy("minhash")
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 1000):
@@ -245,6 +247,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, column: str, shape) -> DataFrame
     wanted = saved(wanted)
     ids = saved(wanted.select("id").distinct())
 
+    @tidy("minhash")
     def run(batches):
         hashes = WordHashes()
         for batch in batches:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -21,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
-from .wordparts import LATIN_PARTS, NOT_LATIN, added_tokens, byte_letters, cuts_words, spec_of
+from .common import kept, saved, text_of, tidy
+from .wordparts import LATIN_PARTS, NOT_LATIN, added_tokens, byte_letters, cuts_words, read_spec
 
 WINDOW = 4096
 END_ID = 2
@@ -30,7 +29,6 @@ END_ID = 2
 REMEMBERED = 250_000
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -49,10 +47,10 @@ class WordIds:
     tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int]):
         self.tokenizer = _tokenizer(path)
         self.letters = dict(enumerate(byte_letters()))
-        self.added = added_tokens(spec_of(path))
+        self.added = added
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -89,10 +87,14 @@ class TextIds:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str):
-    """WordIds where the tokenizer file drops white space before merging, else TextIds."""
-    return WordIds(path) if cuts_words(spec_of(path)) else TextIds(path)
+    """WordIds where the tokenizer file drops white space before merging, else TextIds; a worker keeps it between tasks."""
+
+    def make():
+        spec = read_spec(path)  # its vocabulary is not kept beside the tokenizer's
+        return WordIds(path, added_tokens(spec)) if cuts_words(spec) else TextIds(path)
+
+    return kept("packing", path, make)
 
 
 def pieces(
@@ -106,6 +108,7 @@ def pieces(
     kind = dict(frame.dtypes)[id_col]
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 
+    @tidy("packing")
     def cut(batches):
         encode = encoder(tokenizer)
         for batch in batches:

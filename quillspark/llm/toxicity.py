@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, text_of
+from .common import bounded_sample, text_of, tidy
 from .minhash import shingles
 
 SAMPLE, WITNESSES, STEMS, NEGATIVES, LANDMARKS = 10_000, 600, 60, 6_000, 256
@@ -369,6 +369,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 def _features_udf(table: np.ndarray, bias: float):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    @tidy("toxicity")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(table, bias)
         for texts in batches:
@@ -386,6 +387,7 @@ def score(frame: DataFrame, model: dict, text_col: str = "text", out_col: str =
     table, bias, weights = model["table"], model["bias"], model["weights"]
 
     @F.pandas_udf(T.DoubleType())
+    @tidy("toxicity")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(table, bias)
         for texts in batches:

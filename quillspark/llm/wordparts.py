@@ -25,13 +25,16 @@ def byte_letters() -> list[str]:
     return letters
 
 
-@lru_cache(maxsize=4)
-def spec_of(path: str) -> dict:
+def read_spec(path: str) -> dict:
     """A tokenizer file's content."""
     with open(path, encoding="utf-8") as file:
         return json.load(file)
 
 
+#: The same, remembered.
+spec_of = lru_cache(maxsize=4)(read_spec)
+
+
 def cuts_words(spec: dict) -> bool:
     """Whether LATIN_PARTS cuts as the file does: lower-casing, white space dropped, words by WORD_PATTERN."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
