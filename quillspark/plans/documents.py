@@ -9,6 +9,7 @@ from ..functions.text import collapsed, search_terms
 from ..operators import answers as A
 from ..operators import chunking as K
 from ..operators import router as Q
+from ..operators.scan_search import scan
 from ..session import table
 from ..tables import shared_dir
 from ..operators import search_index as S
@@ -211,7 +212,9 @@ def router_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     turns = turns.select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), F.col("text").alias("question"), F.lit("GENERAL").alias("truth"))
     asked = items.unionAll(turns)
-    best = S.search(kept(spark, sf_dir), asked.select("id", F.col("question").alias("query")), 1, "id", "query", "doc_id")[0].select("id", "score")
+    questions = asked.select("id", F.col("question").alias("query"))
+    best = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), questions, 1, "id", "query", "doc_id")
+    best = (S.search(kept(spark, sf_dir), questions, 1, "id", "query", "doc_id")[0] if best is None else best).select("id", "score")
     routed = asked.join(best, "id", "left").select(
         "id", "truth", Q.keyword_route(F.col("question")).alias("keyword"), Q.score_route(F.col("score"), 60.0).alias("score"), F.lit("DOCUMENT").alias("constant"),
     )

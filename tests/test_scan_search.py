@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import catalogue
 from quillspark.operators import scan_search
 from quillspark.operators import search_index as S
 from quillspark.operators.retrieval import bm25, ranked
@@ -78,3 +79,9 @@ def test_a_long_document_is_cut_in_proportion(spark):
     took = time.time() - began
     assert index.forward.where("id = 1").select(F.size("terms"), F.array_max("terms.tf")).collect() == [(24_000, 1)]
     assert took < 30
+
+
+def test_the_router_benchmark_builds_no_index(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(S, "build", lambda *a: pytest.fail("built an index for one search"))
+    monkeypatch.setattr(S, "_KEPT", {})
+    assert catalogue.QUERIES["AGG38_router_benchmark"](spark, sf_dir).count() == 3
